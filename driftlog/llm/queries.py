@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .mixing import mix
+from .near_dedup import near_dedup
 from .token_counts import token_counts
 
 
@@ -19,6 +21,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -53,5 +63,5 @@ select doc_id, size, source_size, target,
        (size * least(2, whole + case when upto <= need or (upto - own <= need and 2 * (need - (upto - own)) > own) then 1 else 0 end))::bigint as taken
 from c"""
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op5_license_scan, op10_source_mix)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op10_source_mix": OP10_SQL}
