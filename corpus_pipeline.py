@@ -1,2 +1,58 @@
+"""From raw documents to a training mix, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of ``documents``. Null texts count
+as empty, an empty table stays empty, and rows go only by a stage's decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from driftlog.llm.common import table, without, written
+from driftlog.llm.decontaminate import contaminated
+from driftlog.llm.exact_dedup import drop_exact
+from driftlog.llm.mixing import mix
+from driftlog.llm.near_dedup import near_dedup
+from driftlog.llm.quality import good_documents
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return good_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return drop_exact(docs.select(*COLUMNS))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    docs = docs.select(*COLUMNS)
+    return without(docs, near_dedup(docs).where("not kept").select("doc_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    docs = docs.select(*COLUMNS)
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their share in it."""
+    return mix(docs, carry=("text", "lang", "source", "n_chars")).where("taken > 0")
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("mixing", mixing)]
+#: The classifier can't be written in SQL; the stages are tested one by one.
 ORACLE_SQL = None
-def run(spark, sf_dir): return None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

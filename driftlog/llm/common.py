@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Up to so many ids (16 bytes each) go out by broadcast; more are dealt out with the rows.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone`` (doc_id); a null id only goes if it is there itself."""
+    gone = written(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(small, docs["doc_id"].eqNullSafe(small["gone_id"]), "left_anti")
+
+
 def ascii_lower_words(text: str | None) -> list[bytes]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` with only A-Z lower-cased: bytes.lower and bytes.split do exactly this."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -57,20 +57,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of ``docs``.
 
     A source with target T and size S takes all its documents T // S times and
     those below a hash threshold once more; the threshold is where the sum
     comes nearest to the rest of T (within half a document). ``cap`` bounds
-    the copies of a document.
+    the copies of a document. ``carry`` names further columns to return, as
+    they are, in a second reading of ``docs``.
 
     Null text: size 0, nothing to take. Null source: a source of its own, after
     all others. Rows with the same id and text have the same hash and fare
     alike; empty tables give no rows. Other columns are not read.
     """
     key = F.coalesce(F.concat(F.lit("s"), docs[source_col]), F.lit("n"))
-    rows = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), key.alias("key"), n_words(docs[text_col]).alias("size"), doc_hash(docs[id_col], docs[text_col]).alias("h")), "mix-rows")
+    found = [docs[id_col].alias("doc_id"), key.alias("key"), n_words(docs[text_col]).alias("size"), doc_hash(docs[id_col], docs[text_col]).alias("h")]
+    rows = written(docs.select(*found, docs[source_col].alias("source")), "mix-rows")
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     per = written(
         targets(sizes, weights, share, cap)
@@ -97,4 +99,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     edge = state.select("key", (F.col("prefix") + F.when((F.col("need") - F.col("below")) * 2 > F.col("tokens"), 1).otherwise(0)).alias("under"))
     edge = per.select("key", "source_size", "target", "whole").join(edge, "key", "left")
     copies = F.col("whole") + F.when(F.col("h") < F.col("under"), 1).otherwise(0)
-    return rows.select("doc_id", "key", "size", "h").join(small(edge), "key").select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(copies, F.lit(int(cap)))).cast("long").alias("taken"))
+    every = docs.select(*found, *[docs[c].alias(f"_{c}") for c in carry]) if carry else rows.select("doc_id", "key", "size", "h")
+    return every.join(small(edge), "key").select("doc_id", *[F.col(f"_{c}").alias(c) for c in carry], "size", "source_size", "target", (F.col("size") * F.least(copies, F.lit(int(cap)))).cast("long").alias("taken"))

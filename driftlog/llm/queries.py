@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality import quality_scores
 from .token_counts import token_counts
+from .warc import derivatives, responses_of_pages
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,19 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derivatives(responses_of_pages(table(spark, sf_dir, "pages")), "page_id")
+    return found.withColumn("block", F.decode("block", "UTF-8")).drop("warc")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -63,5 +80,5 @@ select doc_id, size, source_size, target,
        (size * least(2, whole + case when upto <= need or (upto - own <= need and 2 * (need - (upto - own)) > own) then 1 else 0 end))::bigint as taken
 from c"""
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op5_license_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op5_license_scan, op7_warc_derivatives, op8_quality, op9_decontamination, op10_source_mix)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op10_source_mix": OP10_SQL}

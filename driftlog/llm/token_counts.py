@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
