@@ -100,6 +100,73 @@ def by_bytes(texts: pa.Array, limit: int = 4 << 20):
         yield start, len(sizes)
 
 
+LEFT, MAIN, OTHER = 0, 1, 2
+
+
+def blocks_across(placed: DataFrame, attributes: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """(block, rows): the documents of regions that hold several components, in pairs of sides of about ``size`` documents.
+
+    ``placed`` is (region, tree, node, comp), ``attributes`` has ``columns`` by
+    node. Rows are (side, node, comp, tree, *columns). On the left (LEFT) stand
+    the documents outside the region's largest component, on the right all of
+    them (MAIN: of the largest, OTHER: not). Each pair across components stands
+    in one block of a region, twice if both are outside the largest.
+    """
+    parts = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n_part"))
+    several = parts.groupBy("region").agg(F.max_by("comp", F.struct("n_part", "comp")).alias("main"), F.sum("n_part").alias("right_n"), F.max("n_part").alias("main_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = several.select("region", "main", F.ceil((F.col("right_n") - F.col("main_n")) / size).cast("int").alias("lefts"), F.ceil(F.col("right_n") / size).cast("int").alias("rights"))
+    members = placed.join(several, "region").join(attributes.select("node", *columns), "node")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    row = lambda side: F.struct(side.cast("int").alias("side"), "node", "comp", "tree", *columns).alias("r")
+    left = members.where("comp <> main").select("region", at("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), row(F.lit(LEFT)))
+    right = members.select("region", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), at("rights").alias("j"), row(F.when(F.col("comp") == F.col("main"), MAIN).otherwise(OTHER)))
+    return left.union(right).groupBy(F.xxhash64("region", "i", "j").alias("block")).agg(F.collect_list("r").alias("rows"))
+
+
+def needed_rows(passing):
+    """Blocks (block, rows) to those of their rows that stand in a pair of ``passing`` (rows -> (i, js)...): (block, *fields)."""
+
+    def run(batches):
+        for batch in batches:
+            for key, rows in zip(batch.column(0), batch.column(1), strict=True):
+                rows = rows.values
+                got = [np.append(js, i) for i, js in passing(rows)]
+                if got:
+                    at = np.unique(np.concatenate(got))
+                    rows = rows.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(at), pa.int64()), *rows.flatten()], ["block", *(f.name for f in rows.type)])
+
+    return run
+
+
+def links_of_blocks(passing, payload: str, meets):
+    """Blocks with a payload in each row to links (a, b): for each row and component the first of ``passing`` that ``meets``."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for rows in batch.column(0):
+                rows = rows.values
+                values = [x.as_py() for x in rows.field(payload)]
+                node, comp = np.asarray(rows.field("node")), np.asarray(rows.field("comp"))
+                for i, js in passing(rows):
+                    met = set()
+                    for j in js:
+                        if comp[j] not in met and meets(values[i], values[j]):
+                            met.add(comp[j])
+                            a.append(int(node[i]))
+                            b.append(int(node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def first_pass_key(live: DataFrame, most: int):
+    """Key of a group of about ``most`` rows or fewer: (region, held) with regions of more dealt out by hash."""
+    salt = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("held") / (most // 2)).cast("long"))
+    return F.when(F.col("held") <= most, F.col("region")).otherwise(F.xxhash64("region", salt))
+
+
 def _local_forest(batches):
     """Union-find over the edges of one task, in bounded blocks: each node linked to the root of its block."""
     parent: dict[int, int] = {}

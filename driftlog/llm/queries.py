@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .fuzzy_lines import fuzzy_line_dedup
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -33,6 +34,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_line_dedup(table(spark, sf_dir, "documents"))
+    return found.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derivatives(responses_of_pages(table(spark, sf_dir, "pages")), "page_id")
     return found.withColumn("block", F.decode("block", "UTF-8")).drop("warc")
@@ -80,5 +86,5 @@ select doc_id, size, source_size, target,
        (size * least(2, whole + case when upto <= need or (upto - own <= need and 2 * (need - (upto - own)) > own) then 1 else 0 end))::bigint as taken
 from c"""
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op5_license_scan, op7_warc_derivatives, op8_quality, op9_decontamination, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op5_license_scan, op6_fuzzy_lines, op7_warc_derivatives, op8_quality, op9_decontamination, op10_source_mix)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op10_source_mix": OP10_SQL}
