@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .fuzzy_lines import fuzzy_line_dedup
+from .language_model import lm_scores
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -30,6 +31,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -86,5 +91,5 @@ select doc_id, size, source_size, target,
        (size * least(2, whole + case when upto <= need or (upto - own <= need and 2 * (need - (upto - own)) > own) then 1 else 0 end))::bigint as taken
 from c"""
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op5_license_scan, op6_fuzzy_lines, op7_warc_derivatives, op8_quality, op9_decontamination, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_near_dedup, op4_lm_scoring, op5_license_scan, op6_fuzzy_lines, op7_warc_derivatives, op8_quality, op9_decontamination, op10_source_mix)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op10_source_mix": OP10_SQL}
