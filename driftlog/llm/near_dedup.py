@@ -9,8 +9,10 @@ agree too little are put aside; the others are confirmed on full shingle sets.
 
 That first pass joins most of each group. A second pass makes the search whole:
 in every region that still holds two or more components, all pairs across
-components are compared by signature, in blocks, and what passes is confirmed.
-So no cap bounds partners or candidates; a link is missed only if two documents
+components are compared by signature, in blocks, each pair in the first tree
+where it meets, and what passes is confirmed on full sets within the block. So
+pairs are never written out, a block yields one link at most for each document
+and component, and no cap bounds partners or candidates. A link is missed only if two documents
 share no prefix in any tree, or if their signatures agree by far less than
 their sets. With 16 trees and 3 values that is about 2e-7 for a similarity of
 0.85 and 1e-5 for 0.8.
@@ -24,15 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_lower_words, components, mix64, shingle_hashes, written
+from .common import BROADCAST_IDS, LEFT, MAIN, WordHash, ascii_lower_words, blocks_across, components, links_of_blocks, mix64, needed_rows, shingle_hashes, written
 
 TREES, DEPTH, SHALLOW = 16, 8, 3
 #: Regions above this many documents are taken deeper or dealt out in the first pass.
 REGION = 1000
 #: Documents in a side of a block of the second pass.
-BLOCK = 64
-#: Up to so many ids (16 bytes each) are broadcast to the second reading of the texts.
-BROADCAST_IDS = 1_000_000
+BLOCK = 256
 #: Standard deviations by which signatures may agree less than the threshold says.
 SLACK = 5.0
 
@@ -78,9 +78,9 @@ def _labels(batches):
         order = np.zeros(sig.shape[:2], np.uint64)  # the next values, as a number that sorts like them
         for k in range(SHALLOW, SHALLOW + 4):
             order = order << np.uint64(16) | sig[:, :, k]
-        node = np.repeat(np.asarray(batch.column(0)), TREES)
+        node, tree = np.repeat(np.asarray(batch.column(0)), TREES), np.tile(np.arange(TREES, dtype=np.int32), len(sig))
         signed = lambda x: pa.array(x.reshape(-1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([signed(region), signed(h), signed(order ^ np.uint64(1 << 63)), pa.array(node)], ["region", "deep", "place", "node"])
+        yield pa.RecordBatch.from_arrays([signed(region), signed(h), signed(order ^ np.uint64(1 << 63)), pa.array(node), pa.array(tree)], ["region", "deep", "place", "node", "tree"])
 
 
 def _agree(cut: int):
@@ -96,26 +96,31 @@ def _agree(cut: int):
     return run
 
 
-def _across(cut: int, percent: int):
-    """Blocks of documents of a region to the pairs across components that agree in size and signature."""
+_BLOCK_ROW = "side int, node long, comp long, tree int, n long, signature binary"
 
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for block in batch.column(0):
-                rows = block.values
-                side, node, comp, n = (np.asarray(rows.field(f)) for f in ("side", "node", "comp", "n"))
-                sig = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(len(node), -1)
-                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                for i in left:
-                    j = right[comp[right] != comp[i]]
-                    j = j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= cut]
-                    a += np.minimum(node[i], node[j]).tolist()
-                    b += np.maximum(node[i], node[j]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+def _passing(rows: pa.StructArray, cut: int, percent: int):
+    """(i, js), with js from the best agreement down: documents of a block across components that agree in size and signature, each pair in the first tree where it shares a region."""
+    side, node, comp, n = (np.asarray(rows.field(f)) for f in ("side", "node", "comp", "n"))
+    sig = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(len(node), TREES, DEPTH)
+    tree, right = rows.field("tree")[0].as_py(), np.flatnonzero(side != LEFT)
+    for i in np.flatnonzero(side == LEFT):
+        j = right[(comp[right] != comp[i]) & ((side[right] == MAIN) | (node[right] > node[i]))]
+        j = j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
+        same = sig[j] == sig[i]
+        agree = same.sum(axis=(1, 2))
+        ok = (agree >= cut) & ~same[:, :tree, :SHALLOW].all(axis=2).any(axis=1)
+        if ok.any():
+            yield int(i), j[ok][np.argsort(-agree[ok], kind="stable")]
+
+
+def _meets(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirm(percent: int):
@@ -125,12 +130,7 @@ def _confirm(percent: int):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(_meets(x.as_py(), y.as_py(), percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -158,7 +158,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     sigs = classes.select("node", "n", "signature")
 
-    trees = sigs.mapInArrow(_labels, "region long, deep long, place long, node long")
+    trees = sigs.mapInArrow(_labels, "region long, deep long, place long, node long, tree int")
     held = trees.groupBy("region").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     live = written(trees.join(held, "region"), "near-live")
     deep = live.where(F.col("held") > REGION).groupBy("deep").agg(F.count(F.lit(1)).alias("deep_held"))
@@ -171,34 +171,28 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     sa, sb = sigs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     first = written(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agree(cut), "a long, b long"), "near-first")
 
-    def confirmed(found: DataFrame, name: str) -> DataFrame:
-        nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-        wanted = written(nodes.join(classes.select("node", "fp", "min_doc"), "node"), f"{name}-wanted")
+    def shingles(nodes: DataFrame, name: str) -> DataFrame:
+        """(node, shingles), from a second reading of one document of each class."""
+        wanted = written(nodes.distinct().join(classes.select("node", "fp", "min_doc"), "node"), f"{name}-wanted")
         ids = wanted.select(F.coalesce("min_doc", F.lit(-(1 << 63))).alias("k")).distinct()
         ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
         again = own.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, "k", "left_semi").select("doc_id", "text")
         sets = again.mapInArrow(_read(width, True), "fp binary, shingles binary").where("fp is not null").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-        sets = written(sets.join(wanted.select("fp", "node"), "fp").select("node", "shingles"), f"{name}-sets")
-        xs, ys = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return written(found.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
+        return written(sets.join(wanted.select("fp", "node"), "fp").select("node", "shingles"), f"{name}-sets")
 
-    links = confirmed(first, "near-first")
-    joined = written(components(links, "near-first"), "near-joined")
+    sets = shingles(first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))), "near-first")
+    xs, ys = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    links = written(first.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+    joined = written(components(links, "near-joined"), "near-joined")
 
     # Second pass: regions with several components; all documents against those outside the region's largest component.
-    placed = written(live.select("region", "node").join(joined, "node", "left").select("region", "node", F.coalesce("component", "node").alias("comp")), "near-placed")
-    parts = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("right_n"), F.max("n").alias("main_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = several.select("region", "main", F.ceil((F.col("right_n") - F.col("main_n")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("right_n") / BLOCK).cast("int").alias("rights"))
-    members = placed.join(several, "region").join(sigs, "node")
-    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    columns = ["node", "comp", "n", "signature"]
-    left = members.where("comp <> main").select("region", at("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.struct(F.lit(0).alias("side"), *columns).alias("r"))
-    right = members.select("region", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), at("rights").alias("j"), F.struct(F.lit(1).alias("side"), *columns).alias("r"))
-    blocks = left.union(right).groupBy("region", "i", "j").agg(F.collect_list("r").alias("rows"))
-    rest = blocks.select("rows").mapInArrow(_across(cut, percent), "a long, b long").distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
-    more = confirmed(rest, "near-rest")
+    placed = written(live.select("region", "tree", "node").join(joined, "node", "left").select("region", "tree", "node", F.coalesce("component", "node").alias("comp")), "near-placed")
+    passing = lambda rows: _passing(rows, cut, percent)
+    blocks = blocks_across(placed, sigs, ["n", "signature"], BLOCK)
+    needed = written(blocks.mapInArrow(needed_rows(passing), f"block long, {_BLOCK_ROW}"), "near-needed")
+    sets = shingles(needed.select("node"), "near-second")
+    full = needed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct(*(c.split()[0] for c in _BLOCK_ROW.split(", ")), "shingles")).alias("rows"))
+    more = written(full.select("rows").mapInArrow(links_of_blocks(passing, "shingles", lambda x, y: _meets(x, y, percent)), "a long, b long"), "near-more")
     stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     final = components(stars.union(more), "near-final")
 
