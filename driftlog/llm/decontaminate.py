@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-First pass: in how many documents each n-gram of the benchmark stands. Second
-pass: n-grams that are rare, the rarer half of each item's in any case, are
-seeds; where a document has one, the item is aligned with the words around it.
+One pass over the documents keeps those that hold any n-gram of the benchmark
+and shows in how many each n-gram stands. Rare n-grams, the rarer half of each
+item's in any case, are seeds; where a document has one, the item is aligned
+with the words around it.
 The local alignment's score tells exact, edited and reordered copies from
 chance. Items are taken in blocks of bounded size, a pass over the documents
 for each block, so that a large benchmark is never sent out whole.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, written
 
 GRAM = 4
 #: Items sent out at a time, at most.
@@ -80,20 +81,25 @@ def _pass(own: DataFrame, given: list[tuple[int, np.ndarray]], n_docs: int, n: i
     sizes = sorted({min(n, len(w)) for _, w in given})
     every = np.unique(np.concatenate(per)) if per else np.zeros(0, np.uint64)
 
-    def frequency(batches):
-        words, held = _Words(), np.zeros(len(every), np.int64)
+    def find(batches):
+        words = _Words()
         for batch in batches:
-            for text in _of(batch.column(1)):
+            at_row, hits = [], []
+            for row, text in enumerate(_of(batch.column(1))):
                 w = words(text)
+                met = []
                 for size in sizes:
                     g = grams(w, size)
                     at = np.minimum(np.searchsorted(every, g), len(every) - 1)
-                    held[np.unique(at[every[at] == g])] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["gram", "n"])
+                    met.append(at[every[at] == g])
+                if len(met := np.unique(np.concatenate(met))):
+                    at_row.append(row)
+                    hits.append(met)
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(at_row, pa.int64())).columns, pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text", "grams"])
 
+    near = written(own.mapInArrow(find, "doc_id long, text string, grams array<long>"), "seeded")
     df = np.zeros(len(every), np.int64)
-    for row in own.mapInArrow(frequency, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in near.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
         df[row["gram"]] = row["n"]
     bound = max(10, RARE * n_docs)
     seeds: dict[int, list[int]] = defaultdict(list)
@@ -129,7 +135,7 @@ def _pass(own: DataFrame, given: list[tuple[int, np.ndarray]], n_docs: int, n: i
             cols = [*zip(*out, strict=True)] or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "end_word"])
 
-    return own.mapInArrow(search, "doc_id long, item_id long, score double, end_word long")
+    return near.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, score double, end_word long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
