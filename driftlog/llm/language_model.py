@@ -39,7 +39,8 @@ from .common import WordHash, ascii_lower_words, by_bytes, shared_dir, written
 from .elias_fano import EliasFano
 
 #: Bytes of text for each piece of a level, and tokens that its boundaries are set by.
-PIECE_BYTES, PIECE_TOKENS = 24 << 20, 4 << 20
+PIECE_BYTES, PIECE_TOKENS = 24 << 20, 2 << 20
+SPLIT_TOKENS = PIECE_TOKENS // 16
 #: An n-gram of this many words or fewer is kept from the given count on.
 KEEP = {2: 1, 3: 2}
 ORDER = 3
@@ -48,7 +49,7 @@ SPAN = 12.0
 #: The end of a text, as a word that no text can hold.
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: Entries that a task holds before it hands counts on.
-HELD = 3_000_000
+HELD = 2_000_000
 
 
 # Files -----------------------------------------------------------------------
@@ -146,10 +147,16 @@ def _counted(streams: Iterator[np.ndarray], bounds: np.ndarray):
         yield from cut(parts)
 
 
-def _splits(counts: np.ndarray, most: int) -> np.ndarray:
-    """Places at which running counts pass multiples of ``most``; hot places once for each multiple."""
+def _splits(counts: np.ndarray) -> np.ndarray:
+    """Places at which running counts pass multiples of SPLIT_TOKENS; hot places once for each multiple."""
     total = np.cumsum(counts)
-    return np.searchsorted(total, np.arange(most, int(total[-1]) if len(total) else 0, most), side="left")
+    return np.searchsorted(total, np.arange(SPLIT_TOKENS, int(total[-1]) if len(total) else 0, SPLIT_TOKENS), side="left").astype(np.int64)
+
+
+def _thinned(splits: list[np.ndarray]) -> np.ndarray:
+    """Of the splits of all pieces in a row those that are PIECE_TOKENS apart."""
+    step = max(1, PIECE_TOKENS // SPLIT_TOKENS)
+    return np.concatenate(splits)[step - 1 :: step] if splits else np.zeros(0, np.int64)
 
 
 # Levels ----------------------------------------------------------------------
@@ -272,49 +279,58 @@ class Model:
     def __init__(self, words: Words, levels: list[Level], uri: str) -> None:
         self.words, self.levels, self.uri = words, levels, uri
 
-    def nodes(self, ids: np.ndarray, first: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For order 2 to ``depth``: index of the n-gram that ends at each place, and the word's place among its context's successors; -1 where there is none.
-
-        ``first`` marks the first token of each text.
-        """
-        out, prev, place = [], ids, ids
-        for level in self.levels[: depth - 1]:
-            context = np.concatenate([[-1], prev[:-1]])
-            context[first] = -1
-            ok = (context >= 0) & (place >= 0)
-            index = np.full(len(ids), -1, np.int64)
-            keys = context[ok].astype(np.uint64) * np.uint64(level.radix) + place[ok].astype(np.uint64)
-            if level.size:
-                index[ok] = at_sorted(level.find, keys)
-            out.append((context, index))
-            starts = at_sorted(level.pointers, np.where(index >= 0, context, -1))
-            prev, place = index, np.where(index >= 0, index - starts, -1)
-        return out
+    @staticmethod
+    def step(level: Level, context: np.ndarray, place: np.ndarray, score: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs (context, place), -1 where either is unknown: index, its place among the context's successors, and if asked for log10 of its probability (0 if it isn't there) and of the context's back-off weight."""
+        index, inner = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+        p, back = np.zeros(len(context)), np.zeros(len(context))
+        if not level.size:
+            return index, inner, p, back
+        ok = (context >= 0) & (place >= 0)
+        u, where = np.unique(context[ok].astype(np.uint64) * np.uint64(level.radix) + place[ok].astype(np.uint64), return_inverse=True)
+        i = level.find(u)
+        found = i >= 0
+        # Keys are sorted, so their contexts are, and each is asked for once.
+        contexts = (u // np.uint64(level.radix)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(u) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(u)))
+        starts = np.repeat(level.pointers(contexts[first]), times)
+        index[ok], inner[ok] = i[where], np.where(found, i - starts, -1)[where]
+        if score:
+            logs = np.zeros(len(u))
+            logs[found] = level.log10(i[found])
+            p[ok], back[ok] = logs[where], np.repeat(level.backoff(contexts[first]), times)[where]
+            rest = (context >= 0) & ~ok
+            back[rest] = at_sorted(level.backoff, context[rest])
+        return index, inner, p, back
 
     def places(self, ids: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(context, place) of the n-grams of ``order`` that end at each place, where both are known."""
-        if order == 2:
-            context, place = np.concatenate([[-1], ids[:-1]]), ids
-            context[first] = -1
-        else:
-            contexts, index = self.nodes(ids, first, order - 1)[-1]
-            level = self.levels[order - 3]
-            place = np.where(index >= 0, index - at_sorted(level.pointers, np.where(index >= 0, contexts, -1)), -1)
-            context = np.concatenate([[-1], index[:-1]])
-            context[first] = -1
-        ok = (context >= 0) & (place >= 0)
-        return context[ok], place[ok]
+        """(context, place) of the n-grams of ``order`` that end at each place; -1 where there is none. ``first`` marks the first token of each text."""
+        context, place = _before(ids, first), ids
+        for level in self.levels[: order - 2]:
+            index, place, _, _ = self.step(level, context, place, False)
+            context = _before(index, first)
+        return context, place
 
     def log10(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token in its context, and the token's count."""
         counts = at_sorted(self.words.counts, ids)
         p = self.words.log10(counts)
-        for level, (context, index) in zip(self.levels, self.nodes(ids, first, len(self.levels) + 1), strict=True):
-            if level.size:
-                p = np.where(index >= 0, at_sorted(level.log10, index), p + at_sorted(level.backoff, context))
+        context, place = _before(ids, first), ids
+        for level in self.levels:
+            index, place, own, back = self.step(level, context, place, True)
+            p = np.where(index >= 0, own, p + back)
+            context = _before(index, first)
         return p, counts
 
 
+def _before(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What stands one place before, -1 at the beginning of a text."""
+    out = np.concatenate([[-1], x[:-1]])
+    out[first] = -1
+    return out
+
+
 # Building --------------------------------------------------------------------
 
 
@@ -346,8 +362,8 @@ def _build_words(train: DataFrame, uri: str, shards: int) -> tuple[Words, np.nda
     def merge(key, batches):
         shard, keys, counts = key[0].as_py(), *_merge([_unpack(x.as_py()) for x in batches.column("blob")])
         save(f"{uri}/words-{shard}", {"hash": keys, "count": counts})
-        hot = _splits(counts, PIECE_TOKENS)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()), "splits": pa.array([hot.astype(np.int64).tobytes()], pa.binary())})
+        hot = _splits(counts)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()), "splits": pa.array([hot.tobytes()], pa.binary())})
 
     rows = written(train.select("text").mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInArrow(merge, "shard int, n long, total long, splits binary"), "lm-words")
     got = {r["shard"]: r for r in rows.toLocalIterator()}
@@ -358,7 +374,7 @@ def _build_words(train: DataFrame, uri: str, shards: int) -> tuple[Words, np.nda
         if n:
             splits.append(np.frombuffer(got[s]["splits"], np.int64) + offset)
         offset += n
-    return Words(pieces, sum(r["total"] for r in got.values())), np.concatenate(splits) if splits else np.zeros(0, np.int64)
+    return Words(pieces, sum(r["total"] for r in got.values())), _thinned(splits)
 
 
 def _cut(splits: np.ndarray, radix: int) -> np.ndarray:
@@ -380,6 +396,8 @@ def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts:
                 count = np.asarray(pa.compute.binary_length(b.column(0).slice(i, j - i))).astype(np.int64) // 4
                 ids = np.frombuffer(b"".join(b.column(0).slice(i, j - i).to_pylist()), np.int32).astype(np.int64)
                 context, place = model.places(ids, _firsts(count), order)
+                ok = (context >= 0) & (place >= 0)
+                context, place = context[ok], place[ok]
                 yield context.astype(np.uint64) * np.uint64(radix) + place.astype(np.uint64)
 
     def merge(key, batches):
@@ -390,7 +408,7 @@ def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts:
         at = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if n else np.zeros(0, np.int64)
         held, total = np.diff(np.append(at, n)), np.add.reduceat(counts, at) if n else counts
         edge = lambda k: (int(parent[at[k]]), int(held[k]), int(total[k])) if n else (-1, 0, 0)
-        row = {"shard": key[0].as_py(), "n": n, "first_key": int(keys[0]) if n else 0, "most": int(held.max()) if n else 0, "first": edge(0), "last": edge(-1), "splits": _splits(counts, PIECE_TOKENS).astype(np.int64).tobytes(), "blob": _pack(keys, counts)}
+        row = {"shard": key[0].as_py(), "n": n, "first_key": int(keys[0]) if n else 0, "most": int(held.max()) if n else 0, "first": edge(0), "last": edge(-1), "splits": _splits(counts).tobytes(), "blob": _pack(keys, counts)}
         return pa.Table.from_pylist([row | {"first": list(row["first"]), "last": list(row["last"])}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("first_key", pa.int64()), ("most", pa.int64()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("splits", pa.binary()), ("blob", pa.binary())]))
 
     counted = seq.select("ids").mapInArrow(lambda b: _counted(streams(b), bounds), "shard int, blob binary")
@@ -446,7 +464,7 @@ def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
 
     raw.select("shard", "blob").repartition(max(1, len(rows)), "shard").mapInArrow(build, "shard int").count()
-    return Level(pieces, size, radix), np.concatenate(cuts) if cuts else np.zeros(0, np.int64), most
+    return Level(pieces, size, radix), _thinned(cuts), most
 
 
 def train(seq_of, texts: DataFrame, n_bytes: int, order: int = ORDER) -> tuple[Model, DataFrame]:
