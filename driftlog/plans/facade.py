@@ -10,6 +10,7 @@ import functools
 import json
 import time
 from collections.abc import Callable
+from dataclasses import asdict
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -74,6 +75,11 @@ class Manager:
         self.db.config.configure(**values)
         return True
 
+    @guarded
+    def config(self, key: str | None = None) -> Any:
+        """One setting, or all of them."""
+        return asdict(self.db.config) if key is None else asdict(self.db.config)[key]
+
     # Reads
 
     @guarded
@@ -106,14 +112,15 @@ class Manager:
         t = self._indexed(table, field)
         return t.each(fn, rows=t.range(field, low, high, conditions, limit))
 
-    def range_from(self, table: str, field: str, low: Any) -> list[dict] | None:
-        return self.select_range(table, field, low)
+    def range_from(self, table: str, field: str, low: Any, conditions: dict[str, Any] | None = None, limit: int = 0) -> list[dict] | None:
+        return self.select_range(table, field, low, None, conditions, limit)
 
-    def range_to(self, table: str, field: str, high: Any) -> list[dict] | None:
-        return self.select_range(table, field, None, high)
+    def range_to(self, table: str, field: str, high: Any, conditions: dict[str, Any] | None = None, limit: int = 0) -> list[dict] | None:
+        return self.select_range(table, field, None, high, conditions, limit)
 
-    def find_by_field(self, table: str, field: str, value: Any) -> list[dict] | None:
-        return self.select_range(table, field, value, value)
+    def find_by_field(self, table: str, field: str, value: Any, conditions: dict[str, Any] | None = None, limit: int = 0) -> list[dict] | None:
+        """Records whose field has the sort key of ``value``."""
+        return self.select_range(table, field, value, value, conditions, limit)
 
     def _indexed(self, table: str, field: str):
         t = self.db.table(table)
