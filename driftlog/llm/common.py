@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,33 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(small, docs["doc_id"].eqNullSafe(small["gone_id"]), "left_anti")
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Hand freed memory back, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` over the batches of a task, with its memory handed back at the end."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def ascii_lower_words(text: str | None) -> list[bytes]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` with only A-Z lower-cased: bytes.lower and bytes.split do exactly this."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -114,7 +143,7 @@ def blocks_across(placed: DataFrame, attributes: DataFrame, columns: list[str],
     """
     parts = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n_part"))
     several = parts.groupBy("region").agg(F.max_by("comp", F.struct("n_part", "comp")).alias("main"), F.sum("n_part").alias("right_n"), F.max("n_part").alias("main_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = several.select("region", "main", F.ceil((F.col("right_n") - F.col("main_n")) / size).cast("int").alias("lefts"), F.ceil(F.col("right_n") / size).cast("int").alias("rights"))
+    several = written(several.select("region", "main", F.ceil((F.col("right_n") - F.col("main_n")) / size).cast("int").alias("lefts"), F.ceil(F.col("right_n") / size).cast("int").alias("rights")), "regions")
     members = placed.join(several, "region").join(attributes.select("node", *columns), "node")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     row = lambda side: F.struct(side.cast("int").alias("side"), "node", "comp", "tree", *columns).alias("r")
@@ -161,12 +190,6 @@ def links_of_blocks(passing, payload: str, meets):
     return run
 
 
-def first_pass_key(live: DataFrame, most: int):
-    """Key of a group of about ``most`` rows or fewer: (region, held) with regions of more dealt out by hash."""
-    salt = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("held") / (most // 2)).cast("long"))
-    return F.when(F.col("held") <= most, F.col("region")).otherwise(F.xxhash64("region", salt))
-
-
 def _local_forest(batches):
     """Union-find over the edges of one task, in bounded blocks: each node linked to the root of its block."""
     parent: dict[int, int] = {}
@@ -201,20 +224,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternating large-star and small-star rounds over written tables, after a
     union-find inside each task. The loop ends when a round changes nothing;
-    only one number a round comes to the driver. Hubs are pre-aggregated (min)
-    and joined back by a splittable join.
+    only one number a round comes to the driver. Hubs are pre-aggregated (min) and
+    written before they are joined back, so that adaptive execution can split
+    the join of a hub; it can't where one side is an aggregate.
     """
     nodes_of = edges.select("a", "b").where("a <> b")
     e = written(nodes_of.mapInArrow(_local_forest, "a long, b long"), f"{name}-forest")
     while True:
         # Large star: each larger neighbour of u, linked to the smallest of u and its neighbours.
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e1 = written(large, f"{name}-large")
         # Small star: smaller neighbours of u and u itself, linked to the smallest.
         down = e1.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lo = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        lo = written(down.groupBy("a").agg(F.min("b").alias("m")), f"{name}-lo")
         small = down.join(lo, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lo.select("a", F.col("m").alias("b"))).distinct()
         e = written(small, f"{name}-small")
         # Stars only: no centre is itself linked to a smaller node, and no node has two.

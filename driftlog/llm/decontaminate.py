@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, tidy, written
 
 GRAM = 4
 #: Items sent out at a time, at most.
@@ -97,7 +97,7 @@ def _pass(own: DataFrame, given: list[tuple[int, np.ndarray]], n_docs: int, n: i
                     hits.append(met)
             yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(at_row, pa.int64())).columns, pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text", "grams"])
 
-    near = written(own.mapInArrow(find, "doc_id long, text string, grams array<long>"), "seeded")
+    near = written(own.mapInArrow(tidy(find), "doc_id long, text string, grams array<long>"), "seeded")
     df = np.zeros(len(every), np.int64)
     for row in near.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
         df[row["gram"]] = row["n"]
@@ -135,7 +135,7 @@ def _pass(own: DataFrame, given: list[tuple[int, np.ndarray]], n_docs: int, n: i
             cols = [*zip(*out, strict=True)] or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "end_word"])
 
-    return near.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, score double, end_word long")
+    return near.select("doc_id", "text").mapInArrow(tidy(search), "doc_id long, item_id long, score double, end_word long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,18 +10,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, release, tidy
 
 #: Bytes of UTF-8 in a passage.
 PASSAGE = 512
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6000
 THRESHOLD = 0.3
+#: Bytes of text that are encoded at a time; working arrays are about 60 times that.
+ENCODED = 1 << 20
 
 _COARSE = 9  # lower, upper, digit, space, line end, stop, other mark, other control, above ASCII
 
@@ -142,7 +143,7 @@ def _raw(column: pa.Array) -> list[bytes]:
 def _features(batches):
     """(label, text) to (label, features): little, as the sample is bounded."""
     for batch in batches:
-        for a, b in by_bytes(batch.column(1)):
+        for a, b in by_bytes(batch.column(1), ENCODED):
             x, count = encode(_raw(batch.column(1).slice(a, b - a)))
             rows = [p.tobytes() for p in np.split(x, np.cumsum(count)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], ["label", "x"])
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """A model from ``labels`` (doc_id, label), fitted on at most ``sample`` rows, first by hash of id; None without both labels."""
     chosen = labels.where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    got = rows.mapInArrow(_features, "label int, x binary").orderBy(F.xxhash64("x")).toArrow()
+    got = rows.mapInArrow(tidy(_features), "label int, x binary").orderBy(F.xxhash64("x")).toArrow()
     y = np.asarray(got["label"].to_pylist(), np.float32)
     if len({*y.tolist()}) < 2:
         return None
@@ -172,13 +173,14 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: in
 def scorer(model: Model | None):
     """The model as a column function of a text."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column, out = pa.array(texts, pa.string()), []
-        for a, b in by_bytes(column):
-            x, count = encode(_raw(column.slice(a, b - a)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = []
+        for a, b in by_bytes(texts, ENCODED):
+            x, count = encode(_raw(texts.slice(a, b - a)))
             out.append(np.clip(model.score(x, count).astype(np.float64), 0, 1) if model else np.full(b - a, 0.5))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        release()
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return score
 
