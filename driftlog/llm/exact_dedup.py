@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, block: int = 4096, id_col: str = "doc_id", text
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["sha"] == b["sha"])
     held = own.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n"))
     held = written(held.alias("h").join(named.alias("i"), same(held, named)).select("h.doc_id", "h.sha", "n", "n_bytes", "name"), "held")
-    groups = held.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = written(held.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     out = held.join(groups, ["n_bytes", "name"])
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("doc_id", "keep_id", "group_size", (first & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
