@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LEFT, MAIN, WordHash, ascii_lower_words, blocks_across, components, links_of_blocks, mix64, needed_rows, shingle_hashes, written
+from .common import BROADCAST_IDS, LEFT, MAIN, WordHash, ascii_lower_words, blocks_across, components, links_of_blocks, mix64, needed_rows, shingle_hashes, tidy, written
 
 TREES, DEPTH, SHALLOW = 16, 8, 3
 #: Regions above this many documents are taken deeper or dealt out in the first pass.
@@ -153,15 +153,15 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     count = TREES * DEPTH
     cut = int(count * percent / 100 - SLACK * (count * percent / 100 * (1 - percent / 100)) ** 0.5)
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = written(own.mapInArrow(_read(width, False), "doc_id long, n long, fp binary, signature binary"), "near-rows")
+    rows = written(own.mapInArrow(tidy(_read(width, False)), "doc_id long, n long, fp binary, signature binary"), "near-rows")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     sigs = classes.select("node", "n", "signature")
 
-    trees = sigs.mapInArrow(_labels, "region long, deep long, place long, node long, tree int")
-    held = trees.groupBy("region").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    trees = sigs.mapInArrow(tidy(_labels), "region long, deep long, place long, node long, tree int")
+    held = written(trees.groupBy("region").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "near-held")
     live = written(trees.join(held, "region"), "near-live")
-    deep = live.where(F.col("held") > REGION).groupBy("deep").agg(F.count(F.lit(1)).alias("deep_held"))
+    deep = written(live.where(F.col("held") > REGION).groupBy("deep").agg(F.count(F.lit(1)).alias("deep_held")), "near-deep")
     salt = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("deep_held") / (REGION // 2)).cast("long"))
     key = F.when(F.col("deep_held").isNull(), F.col("region")).when(F.col("deep_held") <= REGION, F.col("deep")).otherwise(F.xxhash64("deep", salt))
     large = live.where(F.col("held") > REGION).join(deep, "deep", "left").select(key.alias("key"), "place", "node")
@@ -177,7 +177,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         ids = wanted.select(F.coalesce("min_doc", F.lit(-(1 << 63))).alias("k")).distinct()
         ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
         again = own.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, "k", "left_semi").select("doc_id", "text")
-        sets = again.mapInArrow(_read(width, True), "fp binary, shingles binary").where("fp is not null").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+        sets = again.mapInArrow(tidy(_read(width, True)), "fp binary, shingles binary").where("fp is not null").groupBy("fp").agg(F.first("shingles").alias("shingles"))
         return written(sets.join(wanted.select("fp", "node"), "fp").select("node", "shingles"), f"{name}-sets")
 
     sets = shingles(first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))), "near-first")
@@ -189,7 +189,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     placed = written(live.select("region", "tree", "node").join(joined, "node", "left").select("region", "tree", "node", F.coalesce("component", "node").alias("comp")), "near-placed")
     passing = lambda rows: _passing(rows, cut, percent)
     blocks = blocks_across(placed, sigs, ["n", "signature"], BLOCK)
-    needed = written(blocks.mapInArrow(needed_rows(passing), f"block long, {_BLOCK_ROW}"), "near-needed")
+    needed = written(blocks.mapInArrow(tidy(needed_rows(passing)), f"block long, {_BLOCK_ROW}"), "near-needed")
     sets = shingles(needed.select("node"), "near-second")
     full = needed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct(*(c.split()[0] for c in _BLOCK_ROW.split(", ")), "shingles")).alias("rows"))
     more = written(full.select("rows").mapInArrow(links_of_blocks(passing, "shingles", lambda x, y: _meets(x, y, percent)), "a long, b long"), "near-more")
@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     final = components(stars.union(more), "near-final")
 
     group = written(classes.select("fp", "node", "min_doc").join(final, "node", "left").select("fp", "min_doc", F.coalesce("component", "node").alias("component")), "near-groups")
-    least = group.groupBy("component").agg(F.min("min_doc").alias("component_id"))
+    least = written(group.groupBy("component").agg(F.min("min_doc").alias("component_id")), "near-least")
     by_print = group.join(least, "component").select("fp", "component_id")
     out = rows.select("doc_id", "n", "fp").join(by_print, "fp", "left")
     whole = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
