@@ -83,6 +83,18 @@ class EliasFano:
         got = self.low[word] >> off | self.low[word + 1] << np.uint64(1) << (np.uint64(63) - off)
         return got & np.uint64((1 << self.width) - 1)
 
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """Number of ones in a row from the places ``at`` of the upper bits on."""
+        out, on, word, off = np.zeros(len(at), np.int64), np.arange(len(at)), at >> 6, at & 63
+        while len(on):
+            rest = ~(self.high[word] >> off.astype(np.uint64))
+            run = np.minimum(np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64), 64 - off)
+            out[on] += run
+            more = run == 64 - off
+            on, word = on[more], word[more] + 1
+            off = np.zeros(len(on), np.int64)
+        return out
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at the places ``i``."""
         i = np.asarray(i, np.int64)
@@ -92,12 +104,16 @@ class EliasFano:
         """Place of the first value that is ``x`` or more, for x below the universe, and whether it is ``x``."""
         x = np.asarray(x, np.uint64)
         h, target = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
-        stop = self._select(h, False) - h
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        hi = stop.copy()
-        while (on := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = self._lower(np.where(on, mid, 0)) < target
-            lo, hi = np.where(on & less, mid + 1, lo), np.where(on & ~less, mid, hi)
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)  # where the ones of this upper part begin
+        lo = at - h
+        stop = lo + self._run(at)
+        hi, on = stop.copy(), np.flatnonzero(lo < stop)
+        while len(on):
+            a, b = lo[on], hi[on]
+            mid = (a + b) >> 1
+            less = self._lower(mid) < target[on]
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            lo[on], hi[on] = a, b
+            on = on[a < b]
         inside = lo < stop
         return lo, inside & (self._lower(np.where(inside, lo, 0)) == target)

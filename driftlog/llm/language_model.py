@@ -24,6 +24,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_lower_words, by_bytes, shared_dir, written
+from .common import WordHash, ascii_lower_words, by_bytes, shared_dir, tidy, written
 from .elias_fano import EliasFano
 
 #: Bytes of text for each piece of a level, and tokens that its boundaries are set by.
@@ -341,7 +342,7 @@ def _hashes(texts: list[str | None], known: WordHash) -> tuple[np.ndarray, np.nd
     out = np.full(int(count.sum()), END, np.uint64)
     inner = np.ones(len(out), bool)
     inner[np.cumsum(count) - 1] = False
-    out[inner] = known.array([x for w in words for x in w])
+    out[inner] = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, len(out) - len(words))
     return out, count
 
 
@@ -365,7 +366,7 @@ def _build_words(train: DataFrame, uri: str, shards: int) -> tuple[Words, np.nda
         hot = _splits(counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()), "splits": pa.array([hot.tobytes()], pa.binary())})
 
-    rows = written(train.select("text").mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInArrow(merge, "shard int, n long, total long, splits binary"), "lm-words")
+    rows = written(train.select("text").mapInArrow(tidy(count), "shard int, blob binary").groupBy("shard").applyInArrow(merge, "shard int, n long, total long, splits binary"), "lm-words")
     got = {r["shard"]: r for r in rows.toLocalIterator()}
     pieces, offset, splits = [], 0, []
     for s in range(shards):
@@ -411,7 +412,7 @@ def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts:
         row = {"shard": key[0].as_py(), "n": n, "first_key": int(keys[0]) if n else 0, "most": int(held.max()) if n else 0, "first": edge(0), "last": edge(-1), "splits": _splits(counts).tobytes(), "blob": _pack(keys, counts)}
         return pa.Table.from_pylist([row | {"first": list(row["first"]), "last": list(row["last"])}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("first_key", pa.int64()), ("most", pa.int64()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("splits", pa.binary()), ("blob", pa.binary())]))
 
-    counted = seq.select("ids").mapInArrow(lambda b: _counted(streams(b), bounds), "shard int, blob binary")
+    counted = seq.select("ids").mapInArrow(tidy(lambda b: _counted(streams(b), bounds)), "shard int, blob binary")
     raw = written(counted.groupBy("shard").applyInArrow(merge, "shard int, n long, first_key long, most long, first array<long>, last array<long>, splits binary, blob binary"), f"lm-{order}")
     rows = [r for r in sorted(raw.drop("blob").collect(), key=lambda r: r["shard"]) if r["n"]]  # one small row a piece
     size, most, offset, last = sum(r["n"] for r in rows), max((r["most"] for r in rows), default=0), {}, {}
@@ -463,7 +464,7 @@ def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts:
                 save(f"{uri}/level{order}-{shard}", {**EliasFano.build(keys - keys[0], end + 1).arrays("key"), **EliasFano.build(starts, len(keys) + 1).arrays("pointer"), "last": np.array([end], np.uint64), "first": np.array([first], np.uint64), "code": _code(np.log10(p)), "backoff": weight, "count": np.minimum(counts, 255).astype(np.uint8), "many": many, "many_count": counts[many]})
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
 
-    raw.select("shard", "blob").repartition(max(1, len(rows)), "shard").mapInArrow(build, "shard int").count()
+    raw.select("shard", "blob").repartition(max(1, len(rows)), "shard").mapInArrow(tidy(build), "shard int").count()
     return Level(pieces, size, radix), _thinned(cuts), most
 
 
@@ -507,7 +508,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER
                     parts = [p.tobytes() for p in np.split(ids, np.cumsum(count)[:-1])]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(parts, pa.binary())], ["doc_id", "held_out", "ids"])
 
-        return own.mapInArrow(run, "doc_id long, held_out boolean, ids binary")
+        return own.mapInArrow(tidy(run), "doc_id long, held_out boolean, ids binary")
 
     model, seq = train(ids_of, own, n_bytes, order)
 
@@ -522,4 +523,4 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER
                 sums = lambda x: np.add.reduceat(x, at)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(count), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(count), model.words.tokens, np.int64)), pa.array(sums(model.words.log10(c))), pa.array(sums(p))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return seq.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return seq.mapInArrow(tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
