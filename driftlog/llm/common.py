@@ -104,6 +104,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), 32]] = True
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts (runs of anything but ASCII white space), and the number of words of each.
+
+    A polynomial over the bytes, taken for all words at once from running sums.
+    """
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    white = _WHITE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    power, inverse = _powers(1 << max(20, (len(data) + 1).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * power[: len(data)], dtype=np.uint64)])
+    count = np.diff(np.searchsorted(start, np.concatenate([np.cumsum(size + 1) - size - 1, [len(data) + 1]])))
+    return mix64((total[stop] - total[start]) * inverse[start]), count
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``size`` words; a shorter text is one shingle as a whole."""
     if not len(words):
