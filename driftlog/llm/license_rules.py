@@ -1,7 +1,8 @@
 """Signature rules for licence texts, built from families and their versions.
 
 A rule has a keyword that must stand in the lower-cased text before its regex
-is tried, a priority (1 tag, 2 full name or grant, 3 mention) and a label.
+is tried, a priority (1 tag, 2 full name or grant, 3 mention) and a label. Every
+match of the regex holds the keyword, a space in it being any white space.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ SINGLE = [
     ("Zlib", r"zlib(?:/libpng)?\s+licen[cs]e", "zlib"),
     ("Unlicense", r"this\s+is\s+free\s+and\s+unencumbered\s+software|the\s+unlicense", "un"),
     ("WTFPL", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[cs]e", "do what"),
-    ("CC0-1.0", r"cc0\s+1\.0\s+universal|cc[\s-]?zero|creative\s+commons\s+zero", "cc"),
+    ("CC0-1.0", r"cc0\s+1\.0\s+universal|cc[\s-]?zero", "cc"),
+    ("CC0-1.0", r"creative\s+commons\s+zero", "creative commons"),
     ("PD", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain|public\s+domain\s+(?:work|dedication|mark)", "public domain"),
     ("Proprietary", r"proprietary\s+and\s+confidential|confidential\s+and\s+proprietary", "proprietary"),
     ("Proprietary", r"unauthori[sz]ed\s+(?:copying|reproduction|distribution|use)", "unauthori"),

@@ -35,11 +35,22 @@ def _count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORDS)).cast("long")
 
 
+def gate(keyword: str) -> tuple[Column, Column]:
+    """Of a keyword: its words, and a regex of them in a row with any white space between, null for a single word."""
+    words = keyword.split(" ")
+    return F.array(*map(F.lit, words)).alias("words"), F.lit(r"\s+".join(words) if len(words) > 1 else None).cast("string").alias("gate")
+
+
+def holds(low: Column, words: Column, gate: Column) -> Column:
+    """Whether a keyword stands in the text: first all its words anywhere, then in a row."""
+    return F.forall(words, lambda w: F.contains(low, w)) & (gate.isNull() | F.rlike(low, gate))
+
+
 def _rule_groups(given: list[Rule]) -> Column:
-    """Constant: an array of (keyword, rules)."""
+    """Constant: an array of (words, gate, rules)."""
     order = sorted(given, key=lambda r: r.keyword)
     one = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*map(one, g)).alias("rules")) for k, g in groupby(order, lambda r: r.keyword)])
+    return F.array(*[F.struct(*gate(k), F.array(*map(one, g)).alias("rules")) for k, g in groupby(order, lambda r: r.keyword)])
 
 
 def _intervals(text: Column, rule: Column) -> Column:
@@ -95,7 +106,7 @@ def license_scan(docs: DataFrame, given: list[Rule] | None = None, id_col: str =
     out = out.select("doc_id", "text", "n_words", reduce(lambda a, b: a + b, places).cast("long").alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_sort(base).alias("base"))
 
     low = F.lower("text")
-    hits = F.flatten(F.transform(F.filter(_rule_groups(given), lambda g: F.contains(F.col("low"), g["keyword"])), lambda g: F.flatten(F.transform(F.filter(g["rules"], lambda r: F.rlike(F.col("low"), r["pattern"])), lambda r: _intervals(F.col("low"), r)))))
+    hits = F.flatten(F.transform(F.filter(_rule_groups(given), lambda g: holds(F.col("low"), g["words"], g["gate"])), lambda g: F.flatten(F.transform(F.filter(g["rules"], lambda r: F.rlike(F.col("low"), r["pattern"])), lambda r: _intervals(F.col("low"), r)))))
     out = out.withColumn("low", low).withColumn("detections", _kept(hits))
     named = F.filter("detections", lambda d: d["label"] != FALLBACK)
     out = out.withColumn("detections", F.when(F.size(named) > 0, named).otherwise(F.col("detections")))
