@@ -27,7 +27,12 @@ VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name-based ids of URLs, RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg|head|title|body)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+_END = {name: re.compile(end, re.I) for name, end in [("<!--", "-->"), ("<![cdata[", r"\]\]>"), *((n, rf"</{n}\s*>") for n in ("script", "style", "noscript", "template", "svg", "title"))]}
+#: The end tag of a head, or the first tag in it that opens anything of a body.
+_HEAD_END = re.compile(r"(</head\s*>)|<(?!(?:base|basefont|bgsound|link|meta|noscript|script|style|template|title)\b)[a-z]", re.I)
+#: What takes the rest of the page where its end is missing.
+_TO_THE_END = ("<!--", "script", "style")
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|figcaption|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -46,9 +51,47 @@ def named_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment and each element that isn't shown.
+
+    Comments, scripts and styles without an end go on to the end of the page; of
+    other elements without one only the tag goes, and a self-closed svg is empty.
+    A head without an end tag before the first element of the body loses its tag
+    and its title.
+    """
+    out, at, seek, in_head, missing = [], 0, 0, False, set()
+    while m := _OPEN.search(page, seek):
+        name, seek = (m[1] or m[0]).lower(), m.end()
+        end = None
+        if name == "body" or (name == "title" and not in_head):
+            in_head = in_head and name != "body"
+            continue
+        if name == "head":
+            found = None if name in missing else _HEAD_END.search(page, seek)
+            if found is None:
+                missing.add(name)
+            in_head = not (found and found[1])
+            end = None if in_head else found.end()
+        elif not (name == "svg" and m[0].endswith("/>")) and name not in missing:
+            found = _END[name].search(page, seek)
+            if found:
+                end = found.end()
+            elif name in _TO_THE_END:
+                end = len(page)
+            else:
+                missing.add(name)
+        if name == "<![cdata[" and end is None:
+            continue
+        in_head = in_head and name != "title"
+        out += [page[at : m.start()], " "]
+        at = seek = seek if end is None else end
+    out.append(page[at:])
+    return "".join(out)
+
+
 def plain_text(page: str) -> str:
     """What a page shows: no markup, scripts or styles; a line for each block; entities resolved; spaces folded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", without_hidden(page)))
     text = html_lib.unescape(text) if "&" in text else text
     return _LINES.sub("\n", _BLANK.sub(" ", text.replace("\r", "\n"))).strip()
 

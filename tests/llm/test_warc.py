@@ -17,6 +17,26 @@ def test_plain_text():
     assert W.plain_text("<script>never closed") == "" and W.plain_text("<!-- open") == ""
 
 
+def test_text_after_what_is_not_closed_stays():
+    shown = {
+        "<html><head><title>T</title><body><p>Hello": "Hello",
+        "<head><title>T</title><p>Hello</head> you": "Hello you",
+        "<head><title>T</title>Hello": "Hello",
+        "<head><meta charset=x><script>'<p>'</script><title>T</title>\n<h1>Hello": "Hello",
+        "<head><title>T</title></head><body>Hello": "Hello",
+        "a<svg viewBox='0 0 1 1'/>b": "a b",
+        "a<svg/>b<svg><path d='M0'/>no</svg>c": "a b c",
+        "a<svg><path d='M0'/>b": "a b",
+        "a<template>b<p>c": "a b\nc",
+        "a<noscript>b": "a b",
+        "a<noscript>no</noscript>b<noscript>c": "a b c",
+        "a<style>no": "a",
+        "<head><title>T": "T",
+    }
+    assert {page: W.plain_text(page) for page in shown} == shown
+    assert W.plain_text("<template>" * 100_000 + "x") == "x"
+
+
 def test_http_bodies():
     body = b"h\xc3\xa9llo"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(body)
