@@ -2,8 +2,9 @@
 
 One pass over the documents keeps those that hold any n-gram of the benchmark
 and shows in how many each n-gram stands. Rare n-grams, the rarer half of each
-item's in any case, are seeds; where a document has one, the item is aligned
-with the words around it.
+item's in any case, are seeds, and the rarest ones of every stretch that would
+have none otherwise; where a document has one, the item is aligned with the
+words around it.
 The local alignment's score tells exact, edited and reordered copies from
 chance. Items are taken in blocks of bounded size, a pass over the documents
 for each block, so that a large benchmark is never sent out whole.
@@ -11,6 +12,7 @@ for each block, so that a large benchmark is never sent out whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -70,6 +72,17 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def spread(held: np.ndarray, chosen: np.ndarray, size: int) -> np.ndarray:
+    """``chosen`` places and more, so that each run of ``size`` places has one: the one with the least ``held``, the last of equals."""
+    chosen, start = chosen.copy(), 0
+    for stop in [*np.flatnonzero(chosen).tolist(), len(held)]:
+        while stop - start >= size:
+            start += size - int(held[start : start + size][::-1].argmin())
+            chosen[start - 1] = True
+        start = stop + 1
+    return chosen
+
+
 def _of(batch_text: pa.Array):
     for t in batch_text:
         yield t.as_py()
@@ -105,7 +118,14 @@ def _pass(own: DataFrame, given: list[tuple[int, np.ndarray]], n_docs: int, n: i
     seeds: dict[int, list[int]] = defaultdict(list)
     for i, g in enumerate(per):
         held = df[np.searchsorted(every, g)]
-        for x in g[(held <= bound) | (held <= np.sort(held)[(len(g) - 1) // 2])].tolist():
+        rare = g[(held <= bound) | (held <= np.sort(held)[(len(g) - 1) // 2])]
+        # A copy has ``score`` words or more in one run, or one more of them in two with an edit between: a run of ``run`` words.
+        words_of = given[i][1]
+        size = min(n, len(words_of))
+        score = math.ceil(least * len(words_of))
+        run = max(size, (score + 2) // 2)
+        row = grams(words_of, size)
+        for x in np.unique(row[spread(df[np.searchsorted(every, row)], np.isin(row, rare), run - size + 1)]).tolist():
             seeds[x].append(i)
     keys = np.array(sorted(seeds), np.uint64)
 

@@ -48,6 +48,23 @@ def test_copies_are_found_and_clean_documents_left(make_docs, items, monkeypatch
     assert {r.score for r in got if r.doc_id >= 400} == {1.0}
 
 
+def test_a_part_that_many_quote_is_found(make_docs, items):
+    words = prose(702, 40).split()
+    edited = [*words[:9], "edit", *words[10:19]]
+    rows = [(100 + k, prose(3000 + k, 50) + " " + " ".join(words[:21])) for k in range(40)] + [(200, " ".join(edited))]
+    got = {(r.doc_id, r.item_id, r.score >= 0.4) for r in D.contaminated(make_docs(rows), items).collect()}
+    assert got == {(i, 2, True) for i, _ in rows}
+
+
+def test_places_are_spread():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        held, chosen = rng.integers(0, 5, rng.integers(1, 60)), rng.random(1)[0] * 0.3
+        chosen, size = rng.random(len(held)) < chosen, int(rng.integers(1, 9))
+        got = D.spread(held, chosen, size)
+        assert (got | chosen).tolist() == got.tolist() and all(got[i : i + size].any() for i in range(len(held) - size + 1))
+
+
 def test_an_item_twice_is_found_twice(make_docs, items):
     assert {r.item_id for r in D.contaminated(make_docs([(1, prose(700, 40))]), items).collect()} == {0, 53}
 
