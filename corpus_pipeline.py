@@ -8,8 +8,9 @@ as empty, an empty table stays empty, and rows go only by a stage's decision.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftlog.llm.common import table, without, written
+from driftlog.llm.common import marked, table, without, written
 from driftlog.llm.decontaminate import contaminated
 from driftlog.llm.exact_dedup import drop_exact
 from driftlog.llm.mixing import mix
@@ -32,13 +33,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
     docs = docs.select(*COLUMNS)
-    return without(docs, near_dedup(docs).where("not kept").select("doc_id"))
+    return without(docs, near_dedup(marked(docs), mark_col="mark").where("not kept").select("mark"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
     docs = docs.select(*COLUMNS)
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    return without(docs, contaminated(marked(docs), table(spark, sf_dir, "benchmark"), id_col="mark").select(F.col("doc_id").alias("mark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,11 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``mark``: 64 bits of doc_id and text, as rows may have a null id or share one."""
+    return docs.withColumn("mark", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone`` (doc_id); a null id only goes if it is there itself."""
-    gone = written(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """The rows of ``docs`` whose mark isn't in ``gone`` (mark)."""
+    gone = written(gone.select(F.col("mark").alias("gone_mark")).distinct(), "gone")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(small, docs["doc_id"].eqNullSafe(small["gone_id"]), "left_anti")
+    return marked(docs).join(small, F.col("mark") == F.col("gone_mark"), "left_anti").select(*docs.columns)
 
 
 @lru_cache(1)

@@ -48,7 +48,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _read(width: int, full: bool):
-    """Batches of (doc_id, text) to (doc_id, n, fp, signature) or, if full, (fp, shingles)."""
+    """Batches of (doc_id, text, ...) to (doc_id, n, fp, signature, ...) or, if full, (fp, shingles)."""
     hashes = WordHash()
 
     def run(batches):
@@ -61,7 +61,7 @@ def _read(width: int, full: bool):
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 payload.append((s if full else signature(s)).tobytes() if len(s) else None)
             cols = [pa.array(prints, pa.binary()), pa.array(payload, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["fp", "shingles"]) if full else pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *cols], ["doc_id", "n", "fp", "signature"])
+            yield pa.RecordBatch.from_arrays(cols, ["fp", "shingles"]) if full else pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *cols, *batch.columns[2:]], ["doc_id", "n", "fp", "signature", *batch.schema.names[2:]])
 
     return run
 
@@ -136,8 +136,8 @@ def _confirm(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", mark_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``, and its ``mark`` (a long) if ``mark_col`` is given.
 
     Documents are linked if 100 * intersection >= percent * union of their
     distinct shingles of ``width`` words; component_id is the smallest doc_id
@@ -153,7 +153,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     count = TREES * DEPTH
     cut = int(count * percent / 100 - SLACK * (count * percent / 100 * (1 - percent / 100)) ** 0.5)
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = written(own.mapInArrow(tidy(_read(width, False)), "doc_id long, n long, fp binary, signature binary"), "near-rows")
+    mark = ["mark"] if mark_col else []
+    marked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[mark_col].alias("mark")) if mark_col else own
+    rows = written(marked.mapInArrow(tidy(_read(width, False)), "doc_id long, n long, fp binary, signature binary" + ", mark long" * len(mark)), "near-rows")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     sigs = classes.select("node", "n", "signature")
@@ -199,6 +201,6 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     group = written(classes.select("fp", "node", "min_doc").join(final, "node", "left").select("fp", "min_doc", F.coalesce("component", "node").alias("component")), "near-groups")
     least = written(group.groupBy("component").agg(F.min("min_doc").alias("component_id")), "near-least")
     by_print = group.join(least, "component").select("fp", "component_id")
-    out = rows.select("doc_id", "n", "fp").join(by_print, "fp", "left")
+    out = rows.select("doc_id", "n", "fp", *mark).join(by_print, "fp", "left")
     whole = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"), *mark)

@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import Row
 
 import corpus_pipeline as P
 from driftlog.llm.decontaminate import contaminated
 from driftlog.llm.near_dedup import near_dedup
 from driftlog.llm.quality import quality_scores
 
-from .conftest import EDGES
+from .conftest import EDGES, prose
 from .test_near_dedup import brute
 
 SF = "/root/testdata/sf0.01"
@@ -52,6 +53,16 @@ def test_run_equals_the_stages(spark, stages):
     assert sorted(map(tuple, P.run(spark, SF).select(cols).collect())) == sorted(map(tuple, stages["mixing"].select(cols).collect()))
 
 
+def test_clean_rows_stay_whose_id_is_shared_or_null(spark, make_docs):
+    sf = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    text, clean = prose(1, 120), [(None, prose(2, 90)), (None, None), (None, ""), (7, prose(3, 90))]
+    docs = make_docs([(1, text), (None, text + " tail"), (7, text + " end"), *clean])
+    assert sorted(map(str, P.near(spark, docs, sf).select("doc_id", "text").collect())) == sorted(str(Row(doc_id=i, text=t)) for i, t in [(1, text), *clean])
+    docs = make_docs([(None, leak), (7, leak + " " + prose(4, 50)), *clean])
+    assert sorted(map(str, P.decontaminate(spark, docs, sf).select("doc_id", "text").collect())) == sorted(str(Row(doc_id=i, text=t)) for i, t in clean)
+
+
 def test_edges_and_empty_tables(spark, make_docs):
     for rows in (EDGES, []):
         docs = make_docs(rows)
