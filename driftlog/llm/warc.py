@@ -3,7 +3,8 @@
 Each response gives two records that refer to it: ``metadata`` (source headers
 and what the conversion found, as warc-fields) and ``conversion`` (plain text).
 Both keep the response's id in WARC-Refers-To, its target and date, and its
-payload digest; each has digests of its own block. Everything is per record:
+payload digest, made from the decoded body only where the response has none; the
+metadata also names the response's own digests; each has digests of its own block. Everything is per record:
 no shuffle.
 """
 
@@ -177,16 +178,16 @@ SCHEMA = "record_type string, record_id string, refers_to string, target_uri str
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
 
 
-def _derive(record_id: str, uri: str | None, date: str | None, block: bytes) -> list[dict]:
+def _derive(record_id: str, uri: str | None, date: str | None, block: bytes, block_digest: str | None = None, payload_digest: str | None = None) -> list[dict]:
     status, headers, body = split_http(block)
     body = decoded(headers, body)
-    page, payload = characters(headers, body), digest(body)
+    page, payload = characters(headers, body), payload_digest or digest(body)
     title = m[1] if (m := _TITLE.search(page)) else ""
     title = one_line(html_lib.unescape(_TAG.sub("", title)))
     text = plain_text(page).encode("utf-8", "replace")
     lang = m[1] if (m := _LANG.search(page)) else ""
     source = "\n".join(f"{k}: {one_line(v)}" for k, v in headers)
-    fields = [("title", title), ("language", lang), ("http-status", status), ("source-length", str(len(body))), ("text-length", str(len(text))), *((f"source-{k.lower()}", v) for k, v in headers)]
+    fields = [("title", title), ("language", lang), ("http-status", status), ("source-length", str(len(body))), ("text-length", str(len(text))), *((f"source-{k.lower()}", v) for k, v in headers), ("source-warc-block-digest", block_digest or ""), ("source-warc-payload-digest", payload_digest or "")]
     meta = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields if v).encode()
     out = []
     for kind, content, data in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
@@ -197,7 +198,7 @@ def _derive(record_id: str, uri: str | None, date: str | None, block: bytes) ->
 
 
 def derivatives(responses: DataFrame, key: str = "key") -> DataFrame:
-    """Two records for each response of (key, record_id, target_uri, warc_date, block).
+    """Two records for each response of (key, record_id, target_uri, warc_date, block) and, where there are any, (block_digest, payload_digest).
 
     ``source_headers`` holds the response's HTTP headers, one a line; ``warc``
     the whole record, ready to be written. A null or empty block gives an
@@ -211,12 +212,13 @@ def derivatives(responses: DataFrame, key: str = "key") -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 rows, keys = [], []
                 for r in batch.slice(at, 256).to_pylist():
-                    got = _derive(r["record_id"] or named_id(f"{r['key']} {r['target_uri'] or ''}"), r["target_uri"], r["warc_date"], r["block"] or b"")
+                    got = _derive(r["record_id"] or named_id(f"{r['key']} {r['target_uri'] or ''}"), r["target_uri"], r["warc_date"], r["block"] or b"", r["block_digest"], r["payload_digest"])
                     rows += got
                     keys += [r["key"]] * len(got)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([x[f.name] for x in rows], f.type) for f in _ARROW)], [key, *_ARROW.names])
 
-    own = responses.select(responses[key].cast("long").alias("key"), "record_id", "target_uri", "warc_date", "block")
+    digests = [F.col(c) if c in responses.columns else F.lit(None).cast("string").alias(c) for c in ("block_digest", "payload_digest")]
+    own = responses.select(responses[key].cast("long").alias("key"), "record_id", "target_uri", "warc_date", "block", *digests)
     return own.mapInArrow(run, f"{key} long, {SCHEMA}")
 
 
@@ -228,17 +230,17 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_responses(spark, path: str) -> DataFrame:
-    """Response records of WARC files (``path`` as Spark takes it): (key, record_id, target_uri, warc_date, block)."""
+    """Response records of WARC files (``path`` as Spark takes it): (key, record_id, target_uri, warc_date, block, block_digest, payload_digest)."""
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block", pa.binary())])
+        schema = pa.schema([("key", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block", pa.binary()), ("block_digest", pa.string()), ("payload_digest", pa.string())])
         for batch in batches:
             for data in batch.column(0):
                 got = [(h, b) for h, b in records(data.as_py()) if h.get("WARC-Type") == "response"]
-                cols = [list(range(len(got))), *([h.get(k) for h, _ in got] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date")), [b for _, b in got]]
+                cols = [list(range(len(got))), *([h.get(k) for h, _ in got] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date")), [b for _, b in got], *([h.get(k) for h, _ in got] for k in ("WARC-Block-Digest", "WARC-Payload-Digest"))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key long, record_id string, target_uri string, warc_date string, block binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key long, record_id string, target_uri string, warc_date string, block binary, block_digest string, payload_digest string")
 
 
 def warc_files(found: DataFrame, per_file: int = 64 << 20) -> DataFrame:

@@ -80,5 +80,20 @@ def test_files_round_trip(spark, pages, tmp_path):
     assert again.refers_to == "<urn:uuid:1>" and again.warc_date == "2020-01-01T00:00:00Z" and again.block.decode() == W.plain_text(PAGE)
 
 
+def test_digests_of_the_response_are_kept(spark, tmp_path):
+    zipped = gzip.compress(PAGE.encode())
+    block = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + zipped
+    given = [("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Block-Digest", W.digest(block)), ("WARC-Payload-Digest", W.digest(zipped))]
+    (tmp_path / "a.warc").write_bytes(W.record("response", given, block) + W.record("response", [("WARC-Record-ID", "<urn:uuid:2>")], block))
+    got = {(r.refers_to, r.record_type): r for r in W.derivatives(W.read_responses(spark, str(tmp_path / "a.warc"))).collect()}
+    for kind in ("metadata", "conversion"):
+        r = got["<urn:uuid:1>", kind]
+        assert r.payload_digest == W.digest(zipped) and f"WARC-Payload-Digest: {W.digest(zipped)}".encode() in r.warc
+        assert got["<urn:uuid:2>", kind].payload_digest == W.digest(PAGE.encode())
+    meta = bytes(got["<urn:uuid:1>", "metadata"].block)
+    assert f"source-warc-block-digest: {W.digest(block)}\r\nsource-warc-payload-digest: {W.digest(zipped)}\r\n".encode() in meta
+    assert b"source-warc" not in got["<urn:uuid:2>", "metadata"].block
+
+
 def test_no_pages(pages):
     assert W.derivatives(W.responses_of_pages(pages.limit(0)), "page_id").count() == 0
