@@ -14,7 +14,7 @@ the longest n-gram starts from where the shorter one was found.
 
 P(w | h) = c(h w) / (C + T) + b(h) P(w | h'), where C is the count of h, T the
 number of its successors kept, b(h) = 1 - sum of c / (C + T) over those, and
-P(w) = (c + 1) / (N + V + 1). Trigrams that occur once are not kept.
+P(w) = (c + 1) / (N + V + 1). By default trigrams that occur once are not kept.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ PIECE_BYTES, PIECE_TOKENS = 24 << 20, 2 << 20
 SPLIT_TOKENS = PIECE_TOKENS // 16
 #: An n-gram of this many words or fewer is kept from the given count on.
 KEEP = {2: 1, 3: 2}
+#: All n-grams are kept.
+KEEP_ALL = {2: 1, 3: 1}
 ORDER = 3
 #: log10 of probabilities and back-off weights go from 0 to -SPAN in 256 steps.
 SPAN = 12.0
@@ -385,9 +387,9 @@ def _cut(splits: np.ndarray, radix: int) -> np.ndarray:
     return np.array(sorted({*inner}), np.uint64)
 
 
-def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts: int, splits: np.ndarray) -> tuple[Level, np.ndarray, int]:
+def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts: int, splits: np.ndarray, least: int) -> tuple[Level, np.ndarray, int]:
     """The level of n-grams of ``order``: itself, contexts at which to cut the next, and the most successors of a context."""
-    uri, bounds, least = model.uri, _cut(splits, radix), KEEP[order]
+    uri, bounds = model.uri, _cut(splits, radix)
     if contexts * radix >= 1 << 63:
         raise ValueError(f"{contexts} contexts of {radix} words don't fit in 63 bits")
 
@@ -468,7 +470,7 @@ def _build_level(model: Model, seq: DataFrame, order: int, radix: int, contexts:
     return Level(pieces, size, radix), _thinned(cuts), most
 
 
-def train(seq_of, texts: DataFrame, n_bytes: int, order: int = ORDER) -> tuple[Model, DataFrame]:
+def train(seq_of, texts: DataFrame, n_bytes: int, order: int = ORDER, keep: dict[int, int] = KEEP) -> tuple[Model, DataFrame]:
     """A model of the texts that are not held out; ``seq_of`` makes the table of word ids once the words are known."""
     uri = f"{shared_dir(texts.sparkSession)}/lm-{uuid.uuid4().hex}"
     system, path = _place(uri)
@@ -479,13 +481,13 @@ def train(seq_of, texts: DataFrame, n_bytes: int, order: int = ORDER) -> tuple[M
     model, seq = Model(words, [], uri), written(seq_of(words), "lm-ids")
     learned, radix, contexts = seq.where("not held_out"), max(1, words.size), words.size
     for k in range(2, order + 1):
-        level, splits, most = _build_level(model, learned, k, radix, contexts, splits)
+        level, splits, most = _build_level(model, learned, k, radix, contexts, splits, keep[k])
         model.levels.append(level)
         radix, contexts = max(1, most), level.size
     return model, seq
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", keep: dict[int, int] = KEEP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``, read whole.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held`` are held out; all
@@ -510,7 +512,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER
 
         return own.mapInArrow(tidy(run), "doc_id long, held_out boolean, ids binary")
 
-    model, seq = train(ids_of, own, n_bytes, order)
+    model, seq = train(ids_of, own, n_bytes, order, keep)
 
     def score(batches):
         for b in batches:

@@ -10,7 +10,7 @@ from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .fuzzy_lines import fuzzy_line_dedup
-from .language_model import lm_scores
+from .language_model import KEEP_ALL, lm_scores
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -32,7 +32,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), keep=KEEP_ALL)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,15 @@ def test_unseen_words_are_likelier_than_nothing_and_repeats_than_noise(make_docs
     assert 0 > got[held[0]].score > got[held[1]].score > -50
 
 
+def test_trigrams_that_occur_once_are_kept(make_docs):
+    learned = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2)
+    one = 2 / 9  # four tokens of four kinds
+    two = 1 / 2 + one / 2
+    three = 1 / 2 + two / 2
+    got = M.lm_scores(make_docs([(learned, "a b c")]), keep=M.KEEP_ALL).first()
+    assert got.score == pytest.approx(sum(map(math.log10, (one, two, three, three))), abs=0.1)
+
+
 def test_empty_tables(make_docs):
     assert M.lm_scores(make_docs([])).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
