@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of texts for the shingle and mixing operators: runs of anything but ASCII white space.
@@ -39,8 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-#: Up to so many ids (16 bytes each) go out by broadcast; more are dealt out with the rows.
-BROADCAST_IDS = 1_000_000
+#: Bytes that a side may take in memory to go out by broadcast; a larger one is dealt out with the rows.
+BROADCAST_BYTES = 8 << 20
+
+
+def sized(df: DataFrame, width: int | Column = 32) -> DataFrame:
+    """``df`` (a written table), for broadcast if its rows of ``width`` bytes together are within BROADCAST_BYTES."""
+    total = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -51,8 +57,7 @@ def marked(docs: DataFrame) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose mark isn't in ``gone`` (mark)."""
     gone = written(gone.select(F.col("mark").alias("gone_mark")).distinct(), "gone")
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return marked(docs).join(small, F.col("mark") == F.col("gone_mark"), "left_anti").select(*docs.columns)
+    return marked(docs).join(sized(gone), F.col("mark") == F.col("gone_mark"), "left_anti").select(*docs.columns)
 
 
 @lru_cache(1)
@@ -115,9 +120,13 @@ _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 _BASE = 0xD1342543DE82EF95
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers or more of _BASE and of its inverse modulo 2^64."""
+    return _powers(1 << max(20, n.bit_length()))
+
+
 @lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2^64."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         factors = np.full(n, base, np.uint64)
@@ -136,7 +145,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     white = _WHITE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    power, inverse = _powers(1 << max(20, (len(data) + 1).bit_length()))
+    power, inverse = powers(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * power[: len(data)], dtype=np.uint64)])
     count = np.diff(np.searchsorted(start, np.concatenate([np.cumsum(size + 1) - size - 1, [len(data) + 1]])))
     return mix64((total[stop] - total[start]) * inverse[start]), count
@@ -167,60 +176,119 @@ def by_bytes(texts: pa.Array, limit: int = 4 << 20):
         yield start, len(sizes)
 
 
-LEFT, MAIN, OTHER = 0, 1, 2
+LEFT, MAIN, OTHER, BOTH = 0, 1, 2, 3
 
 
-def blocks_across(placed: DataFrame, attributes: DataFrame, columns: list[str], size: int) -> DataFrame:
-    """(block, rows): the documents of regions that hold several components, in pairs of sides of about ``size`` documents.
+def tiles(placed: DataFrame, attributes: DataFrame, columns: list[str], side: int) -> DataFrame:
+    """The rows of regions that hold several components, dealt out in tiles of about two times ``side`` rows.
 
-    ``placed`` is (region, tree, node, comp), ``attributes`` has ``columns`` by
-    node. Rows are (side, node, comp, tree, *columns). On the left (LEFT) stand
-    the documents outside the region's largest component, on the right all of
-    them (MAIN: of the largest, OTHER: not). Each pair across components stands
-    in one block of a region, twice if both are outside the largest.
+    ``placed`` is (region, node, comp, ...), ``attributes`` is by node; rows are
+    (tile, side, node, comp, *columns), sorted by tile within partitions, with
+    columns of either. A region of up to
+    ``side`` rows is one tile, its rows MAIN (of the largest component) or BOTH.
+    Of a larger one, the rows outside the largest component stand on the LEFT,
+    all rows on the right (MAIN or OTHER), so that each pair across components
+    stands in one tile, twice if both are outside the largest. A row stands in
+    as many tiles as the region has sides, which are large for that reason.
     """
     parts = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n_part"))
-    several = parts.groupBy("region").agg(F.max_by("comp", F.struct("n_part", "comp")).alias("main"), F.sum("n_part").alias("right_n"), F.max("n_part").alias("main_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = written(several.select("region", "main", F.ceil((F.col("right_n") - F.col("main_n")) / size).cast("int").alias("lefts"), F.ceil(F.col("right_n") / size).cast("int").alias("rights")), "regions")
-    members = placed.join(several, "region").join(attributes.select("node", *columns), "node")
+    several = parts.groupBy("region").agg(F.max_by("comp", F.struct("n_part", "comp")).alias("main"), F.sum("n_part").alias("all_n"), F.max("n_part").alias("main_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lefts, rights = F.ceil((F.col("all_n") - F.col("main_n")) / side).cast("int"), F.ceil(F.col("all_n") / side).cast("int")
+    several = written(several.select("region", "main", lefts.alias("lefts"), rights.alias("rights")), "regions")
+    members = placed.join(several, "region").join(attributes, "node")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    row = lambda side: F.struct(side.cast("int").alias("side"), "node", "comp", "tree", *columns).alias("r")
-    left = members.where("comp <> main").select("region", at("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), row(F.lit(LEFT)))
-    right = members.select("region", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), at("rights").alias("j"), row(F.when(F.col("comp") == F.col("main"), MAIN).otherwise(OTHER)))
-    return left.union(right).groupBy(F.xxhash64("region", "i", "j").alias("block")).agg(F.collect_list("r").alias("rows"))
+    tile, is_main = F.xxhash64("region", "i", "j").alias("tile"), F.col("comp") == F.col("main")
+    rest = ["node", "comp", *columns]
+    one = members.where("rights = 1").select(F.xxhash64("region").alias("tile"), F.when(is_main, MAIN).otherwise(BOTH).alias("side"), *rest)
+    large = members.where("rights > 1")
+    left = large.where(~is_main).withColumn("i", at("lefts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).select(tile, F.lit(LEFT).alias("side"), *rest)
+    right = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("j", at("rights")).select(tile, F.when(is_main, MAIN).otherwise(OTHER).alias("side"), *rest)
+    return by_tile(one.union(left).union(right))
+
+
+def by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tile").sortWithinPartitions("tile")
+
+
+def each_tile(batches, together: int = 1):
+    """Record batches of whole tiles from batches sorted by ``tile`` (first column): ``together`` rows or more of small tiles at a time."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+        joins = bool(held) and held[-1].column(0)[-1].as_py() == key[0]
+        # What is held ends with a tile that may go on; a batch is cut after its last whole tile.
+        if len(edge) or (held and not joins):
+            cut = int(edge[-1]) if len(edge) else 0
+            if sum(x.num_rows for x in held) + cut >= together:
+                yield _one_batch([*held, batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+                continue
+        held.append(batch)
+    if held:
+        yield _one_batch(held)
+
+
+def _one_batch(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    parts = [p for p in parts if p.num_rows]
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def tile_bounds(batch: pa.RecordBatch) -> np.ndarray:
+    key = np.asarray(batch.column(0))
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+
+class Groups:
+    """Union-find over few integers."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        at = x
+        while (up := self.up.get(at, at)) != at:
+            at = up
+        while (up := self.up.get(x, x)) != at:
+            self.up[x], x = at, up
+        return at
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
 
 
 def needed_rows(passing):
-    """Blocks (block, rows) to those of their rows that stand in a pair of ``passing`` (rows -> (i, js)...): (block, *fields)."""
+    """Tiles to those of their rows that stand in a pair of ``passing`` (batch, a, b -> (i, js)...)."""
 
     def run(batches):
-        for batch in batches:
-            for key, rows in zip(batch.column(0), batch.column(1), strict=True):
-                rows = rows.values
-                got = [np.append(js, i) for i, js in passing(rows)]
-                if got:
-                    at = np.unique(np.concatenate(got))
-                    rows = rows.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(at), pa.int64()), *rows.flatten()], ["block", *(f.name for f in rows.type)])
+        for batch in each_tile(batches):
+            at, got = tile_bounds(batch), []
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                got += [np.append(js, i) for i, js in passing(batch, a, b)]
+            if got:
+                yield batch.take(pa.array(np.unique(np.concatenate(got))))
 
     return run
 
 
-def links_of_blocks(passing, payload: str, meets):
-    """Blocks with a payload in each row to links (a, b): for each row and component the first of ``passing`` that ``meets``."""
+def links_of_tiles(passing, payload: str, meets):
+    """Tiles with a payload in each row to links (a, b): pairs of ``passing`` that ``meets``, of components that aren't joined in the tile yet."""
 
     def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for rows in batch.column(0):
-                rows = rows.values
-                values = [x.as_py() for x in rows.field(payload)]
-                node, comp = np.asarray(rows.field("node")), np.asarray(rows.field("comp"))
-                for i, js in passing(rows):
-                    met = set()
-                    for j in js:
-                        if comp[j] not in met and meets(values[i], values[j]):
-                            met.add(comp[j])
+        for batch in each_tile(batches):
+            at, a, b = tile_bounds(batch), [], []
+            values, node, comp = batch.column(payload), np.asarray(batch.column("node")), np.asarray(batch.column("comp")).tolist()
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                groups = Groups()
+                for i, js in passing(batch, lo, hi):
+                    own = values[int(i)].as_py()
+                    for j in js.tolist():
+                        if groups.root(comp[i]) != groups.root(comp[j]) and meets(own, values[j].as_py()):
+                            groups.join(comp[i], comp[j])
                             a.append(int(node[i]))
                             b.append(int(node[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

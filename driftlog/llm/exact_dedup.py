@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, written
+from .common import sized, written
 
 #: Blocks or pairs that make up over this share of the rows are named by a broadcast, of 1 / HOT rows at most.
 HOT = 0.002
@@ -84,7 +84,6 @@ def drop_exact(docs: DataFrame, block: int = 4096) -> DataFrame:
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
     fate = exact_dedup(docs, block).groupBy(F.col("doc_id").alias("fate_id"), F.col("text_sha256").alias("fate_sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
     fate = written(fate.where("not stays or copies > 1"), "fate")
-    small = F.broadcast(fate) if fate.count() <= BROADCAST_IDS else fate
-    met = docs.withColumn("own_sha", sha).join(small, docs["doc_id"].eqNullSafe(F.col("fate_id")) & (F.col("own_sha") == F.col("fate_sha")), "left")
+    met = docs.withColumn("own_sha", sha).join(sized(fate, 160), docs["doc_id"].eqNullSafe(F.col("fate_id")) & (F.col("own_sha") == F.col("fate_sha")), "left")
     one = met.where("stays").dropDuplicates(["fate_id", "fate_sha"])  # of repeated rows any, as id and text are all that tells them apart
     return met.where("fate_sha is null").union(one).select(*docs.columns)

@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LEFT, MAIN, WordHash, ascii_lower_words, blocks_across, components, links_of_blocks, mix64, needed_rows, shingle_hashes, tidy, written
+from .common import LEFT, MAIN, OTHER, WordHash, ascii_lower_words, by_tile, components, links_of_tiles, mix64, needed_rows, shingle_hashes, sized, tidy, tiles, written
 
 TREES, DEPTH, SHALLOW = 16, 8, 3
 #: Regions above this many documents are taken deeper or dealt out in the first pass.
 REGION = 1000
-#: Documents in a side of a block of the second pass.
-BLOCK = 256
+#: Documents in a side of a tile of the second pass.
+SIDE = 2048
 #: Standard deviations by which signatures may agree less than the threshold says.
 SLACK = 5.0
 
@@ -96,22 +96,26 @@ def _agree(cut: int):
     return run
 
 
-_BLOCK_ROW = "side int, node long, comp long, tree int, n long, signature binary"
+_TILE_ROW = "tile long, side int, node long, comp long, tree int, n long, signature binary"
 
 
-def _passing(rows: pa.StructArray, cut: int, percent: int):
-    """(i, js), with js from the best agreement down: documents of a block across components that agree in size and signature, each pair in the first tree where it shares a region."""
-    side, node, comp, n = (np.asarray(rows.field(f)) for f in ("side", "node", "comp", "n"))
-    sig = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(len(node), TREES, DEPTH)
-    tree, right = rows.field("tree")[0].as_py(), np.flatnonzero(side != LEFT)
-    for i in np.flatnonzero(side == LEFT):
-        j = right[(comp[right] != comp[i]) & ((side[right] == MAIN) | (node[right] > node[i]))]
-        j = j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
-        same = sig[j] == sig[i]
-        agree = same.sum(axis=(1, 2))
-        ok = (agree >= cut) & ~same[:, :tree, :SHALLOW].all(axis=2).any(axis=1)
-        if ok.any():
-            yield int(i), j[ok][np.argsort(-agree[ok], kind="stable")]
+def _passing(cut: int, percent: int):
+    """(batch, a, b) to (i, js), with js from the best agreement down: documents of a tile across components that agree in size and signature, each pair in the first tree where it shares a region."""
+
+    def run(batch: pa.RecordBatch, lo: int, hi: int):
+        side, node, comp, n = (np.asarray(batch.column(f))[lo:hi] for f in ("side", "node", "comp", "n"))
+        sig = np.frombuffer(b"".join(batch.column("signature").slice(lo, hi - lo).to_pylist()), np.uint16).reshape(hi - lo, TREES, DEPTH)
+        tree, right = batch.column("tree")[lo].as_py(), np.flatnonzero(side != LEFT)
+        for i in np.flatnonzero((side != MAIN) & (side != OTHER)):
+            j = right[(comp[right] != comp[i]) & ((side[right] == MAIN) | (node[right] > node[i]))]
+            j = j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
+            same = sig[j] == sig[i]
+            agree = same.sum(axis=(1, 2))
+            ok = (agree >= cut) & ~same[:, :tree, :SHALLOW].all(axis=2).any(axis=1)
+            if ok.any():
+                yield lo + int(i), lo + j[ok][np.argsort(-agree[ok], kind="stable")]
+
+    return run
 
 
 def _meets(x: bytes, y: bytes, percent: int) -> bool:
@@ -177,8 +181,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         """(node, shingles), from a second reading of one document of each class."""
         wanted = written(nodes.distinct().join(classes.select("node", "fp", "min_doc"), "node"), f"{name}-wanted")
         ids = wanted.select(F.coalesce("min_doc", F.lit(-(1 << 63))).alias("k")).distinct()
-        ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-        again = own.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, "k", "left_semi").select("doc_id", "text")
+        again = own.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(sized(written(ids, f"{name}-ids")), "k", "left_semi").select("doc_id", "text")
         sets = again.mapInArrow(tidy(_read(width, True)), "fp binary, shingles binary").where("fp is not null").groupBy("fp").agg(F.first("shingles").alias("shingles"))
         return written(sets.join(wanted.select("fp", "node"), "fp").select("node", "shingles"), f"{name}-sets")
 
@@ -189,12 +192,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     # Second pass: regions with several components; all documents against those outside the region's largest component.
     placed = written(live.select("region", "tree", "node").join(joined, "node", "left").select("region", "tree", "node", F.coalesce("component", "node").alias("comp")), "near-placed")
-    passing = lambda rows: _passing(rows, cut, percent)
-    blocks = blocks_across(placed, sigs, ["n", "signature"], BLOCK)
-    needed = written(blocks.mapInArrow(tidy(needed_rows(passing)), f"block long, {_BLOCK_ROW}"), "near-needed")
+    passing = _passing(cut, percent)
+    needed = written(tiles(placed, sigs, ["tree", "n", "signature"], SIDE).mapInArrow(tidy(needed_rows(passing)), _TILE_ROW), "near-needed")
     sets = shingles(needed.select("node"), "near-second")
-    full = needed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct(*(c.split()[0] for c in _BLOCK_ROW.split(", ")), "shingles")).alias("rows"))
-    more = written(full.select("rows").mapInArrow(links_of_blocks(passing, "shingles", lambda x, y: _meets(x, y, percent)), "a long, b long"), "near-more")
+    whole = by_tile(needed.join(sets, "node").select(*(c.split()[0] for c in _TILE_ROW.split(", ")), "shingles"))
+    more = written(whole.mapInArrow(tidy(links_of_tiles(passing, "shingles", lambda x, y: _meets(x, y, percent))), "a long, b long"), "near-more")
     stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     final = components(stars.union(more), "near-final")
 

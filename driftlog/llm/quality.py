@@ -7,6 +7,7 @@ labels alone weighs the passages, and the weighted sum is scored.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,10 @@ from .common import by_bytes, release, tidy
 
 #: Bytes of UTF-8 in a passage.
 PASSAGE = 512
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE = 6000
+#: Labelled documents that the model is fitted on, at most, and passages of them.
+SAMPLE, FITTED = 6000, 100_000
 THRESHOLD = 0.3
-#: Bytes of text that are encoded at a time; working arrays are about 60 times that.
+#: Bytes of text that are encoded at a time, a multiple of PASSAGE; working arrays are about 60 times that.
 ENCODED = 1 << 20
 
 _COARSE = 9  # lower, upper, digit, space, line end, stop, other mark, other control, above ASCII
@@ -87,11 +88,25 @@ class Model:
     def score(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self._forward((x - self.mean) * self.scale, count)["p"]
 
-    def _forward(self, x: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    def score_long(self, text: bytes) -> float:
+        """The score of one text of any length, encoded part by part; passages don't reach over a part's end."""
+        w, most, total, z = self.weights, -np.inf, 0.0, 0.0
+        for at in range(0, len(text), ENCODED):
+            x, _ = encode([text[at : at + ENCODED]])
+            h, _, _, e = self._gated((x - self.mean) * self.scale)
+            top = max(most, float(e.max()))
+            own, before = np.exp(e - top), np.exp(most - top)
+            most, total, z = top, total * before + own.sum(dtype=np.float64), z * before + own @ h
+        return float(1 / (1 + np.exp(-(z / total @ w["c"] + w["d"]))))
+
+    def _gated(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         w = self.weights
         h = np.tanh(x @ w["W"] + w["b"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        e = (t * s) @ w["w"]
+        return h, t, s, (t * s) @ w["w"]
+
+    def _forward(self, x: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+        w, (h, t, s, e) = self.weights, self._gated(x)
         start = np.concatenate([[0], np.cumsum(count)[:-1]])
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, start), count))
         a = e / np.repeat(np.add.reduceat(e, start), count)
@@ -99,11 +114,28 @@ class Model:
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "p": 1 / (1 + np.exp(-(z @ w["c"] + w["d"])))}
 
 
+def gradients(model: Model, x: np.ndarray, count: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the bags ``x`` (scaled) with ``labels``, by each weight."""
+    w, f, n = model.weights, model._forward(x, count), len(count)
+    doc = np.repeat(np.arange(n), count)
+    dz_out = (f["p"] - labels) / n
+    dz = dz_out[:, None] * w["c"]
+    da = (dz[doc] * f["h"]).sum(axis=1)
+    inner = np.bincount(doc, f["a"] * da, n)
+    de = f["a"] * (da - inner[doc])
+    ds, dt = de[:, None] * w["w"] * f["t"], de[:, None] * w["w"] * f["s"]
+    gt, gs = dt * (1 - f["t"] ** 2), ds * f["s"] * (1 - f["s"])
+    dh = f["a"][:, None] * dz[doc] + gt @ w["V"].T + gs @ w["U"].T
+    du = dh * (1 - f["h"] ** 2)
+    return {"W": x.T @ du, "b": du.sum(axis=0), "V": f["h"].T @ gt, "U": f["h"].T @ gs, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dz_out, "d": dz_out.sum()}
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 48, gate: int = 16, epochs: int = 12, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adam on the cross-entropy of document labels; same bags, same model."""
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags)
     mean, scale = every.mean(axis=0), 1 / np.maximum(every.std(axis=0), 0.02)
+    del every
     w = {"W": rng.normal(0, WIDTH**-0.5, (WIDTH, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)), "w": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "d": np.zeros(())}
     w = {k: v.astype(np.float32) for k, v in w.items()}
     model = Model(mean, scale, w)
@@ -112,23 +144,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 48, gate: int
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            count = np.array([len(bags[i]) for i in part])
             x = (np.concatenate([bags[i] for i in part]) - mean) * scale
-            f = model._forward(x, count)
-            doc = np.repeat(np.arange(len(part)), count)
-            dz_out = (f["p"] - labels[part]) / len(part)
-            dz = dz_out[:, None] * w["c"]
-            da = (dz[doc] * f["h"]).sum(axis=1)
-            inner = np.bincount(doc, f["a"] * da, len(part))
-            de = f["a"] * (da - inner[doc])
-            ds, dt = de[:, None] * w["w"] * f["t"], de[:, None] * w["w"] * f["s"]
-            gt, gs = dt * (1 - f["t"] ** 2), ds * f["s"] * (1 - f["s"])
-            dh = f["a"][:, None] * dz[doc] + gt @ w["V"].T + gs @ w["U"].T
-            du = dh * (1 - f["h"] ** 2)
-            grads = {"W": x.T @ du, "b": du.sum(axis=0), "V": f["h"].T @ gt, "U": f["h"].T @ gs, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dz_out, "d": dz_out.sum()}
             step += 1
             lr = rate * (0.3 if epoch >= epochs * 2 // 3 else 1)
-            for k, g in grads.items():
+            for k, g in gradients(model, x, np.array([len(bags[i]) for i in part]), labels[part]).items():
                 g = g + decay * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
@@ -141,7 +160,7 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 
 def _features(batches):
-    """(label, text) to (label, features): little, as the sample is bounded."""
+    """(label, text) to (label, features)."""
     for batch in batches:
         for a, b in by_bytes(batch.column(1), ENCODED):
             x, count = encode(_raw(batch.column(1).slice(a, b - a)))
@@ -149,20 +168,37 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], ["label", "x"])
 
 
+def _fitted(batches):
+    """(label, features) in a fixed order to one model, from the first rows that have FITTED passages together."""
+    bags, labels, held = [], [], 0
+    for batch in batches:
+        for label, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held <= FITTED:
+                bags.append(np.frombuffer(x.as_py(), np.float32).reshape(-1, WIDTH))
+                labels.append(label)
+                held += len(bags[-1])
+    if len({*labels}) > 1:
+        model = fit(bags, np.array(labels, np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def fold(doc_id, of: int):
     """crc32 of the id as text, modulo ``of``; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from ``labels`` (doc_id, label), fitted on at most ``sample`` rows, first by hash of id; None without both labels."""
+    """A model from ``labels`` (doc_id, label), fitted on at most ``sample`` rows, first by hash of id; None without both labels.
+
+    Texts of over FITTED passages aren't learned from. One task fits the model,
+    as rows and passages are bounded; only the model (50 KB) comes to the driver.
+    """
     chosen = labels.where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    got = rows.mapInArrow(tidy(_features), "label int, x binary").orderBy(F.xxhash64("x")).toArrow()
-    y = np.asarray(got["label"].to_pylist(), np.float32)
-    if len({*y.tolist()}) < 2:
-        return None
-    return fit([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"].to_pylist()], y)
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FITTED * PASSAGE)
+    rows = short.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    features = rows.mapInArrow(tidy(_features), "label int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("x"), "label")
+    got = features.mapInArrow(tidy(_fitted), "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
 def fitted(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, label_col: str) -> Model | None:
@@ -175,12 +211,15 @@ def scorer(model: Model | None):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        out = []
-        for a, b in by_bytes(texts, ENCODED):
-            x, count = encode(_raw(texts.slice(a, b - a)))
-            out.append(np.clip(model.score(x, count).astype(np.float64), 0, 1) if model else np.full(b - a, 0.5))
+        out = np.full(len(texts), 0.5)
+        for a, b in by_bytes(texts, ENCODED) if model else ():
+            raw = _raw(texts.slice(a, b - a))
+            if b - a == 1 and len(raw[0]) > ENCODED:
+                out[a] = model.score_long(raw[0])
+            else:
+                out[a:b] = model.score(*encode(raw))
         release()
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        return pa.array(np.clip(out, 0, 1), pa.float64())
 
     return score
 
@@ -193,8 +232,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``, read whole.
 
-    The model is fitted here on a bounded sample (``sample``, hash order) of the
-    labelled rows outside fold ``held``; only the text is an input of a score.
+    The model is fitted here on a bounded sample (``sample`` rows in hash order,
+    FITTED passages) of the labelled rows outside fold ``held``; only the text
+    is an input of a score, and all of it, in parts where it is long.
     Null and empty texts are one empty passage. Without both labels among the
     rows to learn from every score is 0.5. Repeated rows score alike, null ids
     are held out and never learned from; an empty table gives no rows.

@@ -57,7 +57,7 @@ def test_components_equal_brute_force(make_docs, monkeypatch, width, percent):
 
 def test_large_regions_are_dealt_out_without_loss(make_docs, monkeypatch):
     monkeypatch.setattr(N, "REGION", 10)
-    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SIDE", 8)
     rows = family(60, 0, 80, 0.01) + family(61, 100, 80, 0.02)
     got = N.near_dedup(make_docs(rows), 3, 85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
