@@ -153,20 +153,11 @@ def counts(relation: Relation, rows: DataFrame, conditions: dict[str, Any] | Non
     return where(rows, _free(relation, conditions)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def aggregated(relation: Relation, rows: DataFrame, measures: dict[str, tuple[str, str | None]], conditions: dict[str, Any] | None = None) -> DataFrame:
+def aggregated(relation: Relation, rows: DataFrame, measures: dict[str, tuple[str, str | None]], conditions: dict[str, Any] | None = None, decimals: int | None = None) -> DataFrame:
     """Measures by parent. ``rows`` are children, or of a many-to-many relation what ``through`` gives, where sums of nothing are null and avg counts numbers alone."""
     many = isinstance(relation, ManyToMany)
-    key = relation.left_fk if many else relation.fk
-
-    def one(fn: str, column: str | None) -> Column:
-        if many and fn in ("sum", "avg"):
-            from ..functions.coercion import number
-
-            return (F.sum if fn == "sum" else F.avg)(number(F.col(column), rows.schema[column].dataType))
-        return measure(rows, fn, column)
-
     kept = rows.where(matching(rows, _free(relation, conditions)))
-    return kept.groupBy(key).agg(*[one(fn, c).alias(name) for name, (fn, c) in measures.items()])
+    return kept.groupBy(relation.left_fk if many else relation.fk).agg(*[measure(rows, fn, c, decimals, many).alias(name) for name, (fn, c) in measures.items()])
 
 
 def load_with(parent: DataFrame, parent_key: str, relations: dict[str, tuple[DataFrame, str, str]], limit: int = 0) -> DataFrame:

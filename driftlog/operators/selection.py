@@ -59,30 +59,31 @@ def page(df: DataFrame, key: str, size: int, cursor: Any = None, conditions: dic
     return out.orderBy(key).limit(max(1, size))
 
 
-def measure(df: DataFrame, fn: str, field: str | None = None) -> Column:
-    """An aggregate with the numeric coercion of records: sum 0 and avg, min, max null for no rows."""
+def measure(df: DataFrame, fn: str, field: str | None = None, decimals: int | None = None, numbers_only: bool = False) -> Column:
+    """An aggregate with the numeric coercion of records: sum 0 and avg, min, max null for no rows.
+
+    With ``decimals`` sums are exact over values of so many decimals, so that
+    their order is of no matter. With ``numbers_only``, as over a many-to-many
+    relation, avg divides by the numbers and a sum of nothing is null.
+    """
     if fn not in FUNCTIONS:
         raise ValueError(f"{fn} is none of {', '.join(FUNCTIONS)}")
     if fn == "count":
         return F.count(F.lit(1))
     kind = df.schema[field].dataType
     value = C.number(F.col(field), kind)
+    total = F.sum(value) if decimals is None else F.sum(value.cast(T.DecimalType(18, decimals))).cast("double")
     if fn == "sum":
-        return F.coalesce(F.sum(value), F.lit(0.0))
+        return total if numbers_only else F.coalesce(total, F.lit(0.0))
     if fn == "avg":  # rows that have the field count, numbers or not
-        return F.coalesce(F.sum(value), F.lit(0.0)) / F.nullif(F.count(F.lit(1)), F.lit(0))
+        return total / F.count(value) if numbers_only else F.coalesce(total, F.lit(0.0)) / F.nullif(F.count(F.lit(1)), F.lit(0))
     return (F.min if fn == "min" else F.max)(value)
 
 
-def aggregate(df: DataFrame, measures: dict[str, tuple[str, str | None]], conditions: dict[str, Any] | None = None, by: list[str] | None = None) -> DataFrame:
+def aggregate(df: DataFrame, measures: dict[str, tuple[str, str | None]], conditions: dict[str, Any] | None = None, by: list[str] | None = None, decimals: int | None = None) -> DataFrame:
     """``{name: (function, field)}`` over the rows that meet the conditions, in one pass, by group if ``by`` is given."""
     out = where(df, conditions or {})
-    return out.groupBy(*(by or [])).agg(*[measure(df, fn, field).alias(name) for name, (fn, field) in measures.items()])
-
-
-def money(column: Column) -> Column:
-    """An exact, order-independent sum of amounts with two decimals."""
-    return F.sum(column.cast("decimal(18,2)")).cast("double")
+    return out.groupBy(*(by or [])).agg(*[measure(df, fn, field, decimals).alias(name) for name, (fn, field) in measures.items()])
 
 
 def edge(df: DataFrame, field: str, largest: bool = False) -> DataFrame:

@@ -145,12 +145,12 @@ def agg_count(orders):
 
 @query("orders", "select coalesce(cast(sum(cast(o_totalprice as decimal(18,2))) as double), 0.0) as s from orders where o_orderstatus = 'F'")
 def agg_sum(orders):
-    return S.where(orders, {"o_orderstatus": "F"}).agg(F.coalesce(S.money(F.col("o_totalprice")), F.lit(0.0)).alias("s"))
+    return S.aggregate(orders, {"s": ("sum", "o_totalprice")}, {"o_orderstatus": "F"}, decimals=2)
 
 
 @query("orders", "select cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(o_totalprice) as a from orders where o_orderstatus = 'F'")
 def agg_avg(orders):
-    return S.where(orders, {"o_orderstatus": "F"}).agg((S.money(F.col("o_totalprice")) / F.count("o_totalprice")).alias("a"))
+    return S.aggregate(orders, {"a": ("avg", "o_totalprice")}, {"o_orderstatus": "F"}, decimals=2)
 
 
 @query("events", "select min(value) as mn, max(value) as mx from events where event_type = 'purchase'")
@@ -163,10 +163,16 @@ def agg_empty(events):
     return S.aggregate(events, {"s": ("sum", "value"), "a": ("avg", "value"), "mn": ("min", "value"), "n": ("count", None)}, {"event_type": "none"})
 
 
-@query("events", f"select min(k) as lo, max(k) as hi from (select {KEY_SQL} as k from events)")
+@query("events", f"select arg_min(value, {KEY_SQL}) as lo, arg_max(value, {KEY_SQL}) as hi from events")
 def agg_edges(events):
+    lo, hi = (S.edge(events, "value", largest).withColumn("k", F.lit(1)) for largest in (False, True))
+    return lo.withColumnRenamed("value", "lo").join(hi.withColumnRenamed("value", "hi"), "k").drop("k")
+
+
+@query("events", f"select event_id, case when value = cast(value as bigint) then value else cast(round(value * 1000) as bigint) / 1000.0 end as value from events")
+def sort_key_decoded(events):
     key = C.sort_key(F.col("value"), events.schema["value"].dataType)
-    return events.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return events.select("event_id", C.decode_key(key).cast("double").alias("value"))
 
 
 @query("orders", "select count(*) as n from orders where o_orderstatus = 'F'")
@@ -194,8 +200,8 @@ def o2m_count(lineitem):
 
 @query("orders", "select o_custkey, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as s, cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(o_totalprice) as a, min(o_totalprice) as mn, max(o_totalprice) as mx from orders group by o_custkey")
 def o2m_agg(orders):
-    price = F.col("o_totalprice")
-    return orders.groupBy(CUSTOMER_ORDERS.fk).agg(S.money(price).alias("s"), (S.money(price) / F.count(price)).alias("a"), F.min(price).alias("mn"), F.max(price).alias("mx"))
+    price = "o_totalprice"
+    return R.aggregated(CUSTOMER_ORDERS, orders, {"s": ("sum", price), "a": ("avg", price), "mn": ("min", price), "mx": ("max", price)}, decimals=2)
 
 
 @query("lineitem part", "select l_orderkey, p_partkey, p_name, l_quantity as j_quantity, l_discount as j_discount from lineitem join part on l_partkey = p_partkey")
@@ -217,8 +223,8 @@ def m2m_count(lineitem):
 @query("lineitem part", "select l_orderkey, count(*) as n, cast(sum(cast(p_retailprice as decimal(18,2))) as double) as s, cast(sum(cast(p_retailprice as decimal(18,2))) as double) / count(p_retailprice) as a, min(p_retailprice) as mn, max(p_retailprice) as mx from lineitem join part on l_partkey = p_partkey where p_size = 15 group by l_orderkey")
 def m2m_agg(lineitem, part):
     rows = R.through(ORDER_PARTS, lineitem, part, "p_partkey", conditions={"p_size": 15})
-    price = F.col("p_retailprice")
-    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), S.money(price).alias("s"), (S.money(price) / F.count(price)).alias("a"), F.min(price).alias("mn"), F.max(price).alias("mx"))
+    price = "p_retailprice"
+    return R.aggregated(ORDER_PARTS, rows, {"n": ("count", None), "s": ("sum", price), "a": ("avg", price), "mn": ("min", price), "mx": ("max", price)}, decimals=2)
 
 
 @query("events", "select event_id, event_type, user_id from events where event_type = 'purchase' and user_id = 46")
@@ -243,11 +249,8 @@ def temporal_range(events):
 
 @query("nation customer supplier", "select n_nationkey, n_name, (select count(*) from customer where c_nationkey = n_nationkey) as n_customers, (select count(*) from supplier where s_nationkey = n_nationkey) as n_suppliers from nation")
 def load_with(nation, customer, supplier):
-    counted = lambda df, fk, name: df.groupBy(F.col(fk).alias(f"k_{name}")).agg(F.count(F.lit(1)).alias(name))
-    out = nation
-    for df, fk, name in ((customer, "c_nationkey", "n_customers"), (supplier, "s_nationkey", "n_suppliers")):
-        out = out.join(counted(df, fk, name), out["n_nationkey"] == F.col(f"k_{name}"), "left")
-    return out.select("n_nationkey", "n_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_customers", "n_suppliers")])
+    loaded = R.load_with(nation, "n_nationkey", {"customers": (customer, "c_nationkey", "c_custkey"), "suppliers": (supplier, "s_nationkey", "s_suppkey")})
+    return loaded.select("n_nationkey", "n_name", F.size("customers").cast("long").alias("n_customers"), F.size("suppliers").cast("long").alias("n_suppliers"))
 
 
 @query("region nation", "select r_regionkey, n_nationkey from (select *, row_number() over (partition by n_regionkey order by n_nationkey) as k from nation) join region on n_regionkey = r_regionkey where k <= 3")
@@ -256,9 +259,9 @@ def load_with_limit(region, nation):
     return loaded.select("r_regionkey", F.explode("nations.n_nationkey").alias("n_nationkey"))
 
 
-@query("orders customer", "select o_orderkey from orders o left join customer c on o.o_custkey = c.c_custkey where c.c_custkey is null")
-def fk_violations(orders, customer):
-    return R.orphans(orders, "o_custkey", customer, "c_custkey").select("o_orderkey")
+@query("events part", "select event_id from events e left join part p on e.user_id = p.p_partkey where p.p_partkey is null")
+def fk_violations(events, part):
+    return R.orphans(events, "user_id", part, "p_partkey").select("event_id")
 
 
 @query("lineitem", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
@@ -302,4 +305,12 @@ def log_stats(events):
 
 @query("events", "select event_id, json_extract_string(props, '$.k') as k from events")
 def json_field(events):
-    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return events.select("event_id", C.field_text(F.parse_json("props"), "k").alias("k"))
+
+
+# The record store
+
+from . import store_queries  # noqa: E402
+
+QUERIES |= store_queries.QUERIES
+SQL |= store_queries.SQL

@@ -12,21 +12,21 @@ import copy
 import json
 import logging
 import re
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coercion as C
 from ..operators import relations as R
 from ..operators import replay
+from ..sources.files import Files, local
 from ..sources.jsonl import read_log
-from ..sources.manifest import Manifest
+from ..sources.manifest import LockTimeout, Manifest
 
 log = logging.getLogger("driftlog")
 LOG = "seq long, id string, deleted boolean, version int, body string"
@@ -44,8 +44,12 @@ class Config:
     auto_compact: bool = False
     compact_ratio: float = 0.30
     compact_bytes: int = 5 << 20
+    #: With auto_compact a table of so many segments is rewritten whatever its waste, as each change adds one.
+    compact_segments: int = 200
     #: Relation reads to Python fail beyond so many rows; frames have no such cap.
     max_query_results: int = 10_000
+    #: Deletes and replacements of children that touch so many rows or more fail before any write; 0: none do.
+    max_scan_rows: int = 0
     enforce_foreign_keys: bool = False
     index_files: int = 8
 
@@ -56,11 +60,22 @@ class Config:
         for k, v in values.items():
             setattr(self, k, v)
 
+    def reset(self) -> None:
+        """All keys at their defaults."""
+        for f in fields(self):
+            setattr(self, f.name, f.default)
+
 
 class Database:
-    def __init__(self, spark: SparkSession, base: str, config: Config | None = None) -> None:
+    """Tables under ``base``, which may be any path of Spark's; manifests and locks are in ``manifest``, a folder of the driver's file system, by default ``base``."""
+
+    def __init__(self, spark: SparkSession, base: str, config: Config | None = None, manifest: str | None = None) -> None:
         self.spark, self.base, self.config = spark, base.rstrip("/"), config or Config()
-        self.manifest = Manifest(self.base, self.config.lock_timeout_ms)
+        at = local(manifest or self.base)
+        if at is None:
+            raise ValueError(f"{manifest or self.base} can't hold manifests: name a local folder as well")
+        self.manifest = Manifest(at, self.config.lock_timeout_ms)
+        self.files = Files(spark)
         self.relations = R.Registry()
 
     def check_name(self, name: str) -> str:
@@ -87,14 +102,26 @@ class Database:
                 raise
 
     def recover(self) -> int:
-        """Delete segments that no manifest names, as a writer that died leaves them; how many there were."""
-        from pathlib import Path
+        """Delete segments that no manifest names, as a writer that died leaves them; how many there were.
 
-        known = {s["path"] for v in self.manifest.versions() for t in json.loads((self.manifest.dir / f"{v:012d}.json").read_text())["tables"].values() for s in [*t["segments"], *t["indexes"].values()]}
-        gone = [p for p in Path(self.base).glob("*/seg-*") if str(p.relative_to(self.base)) not in known]
-        for p in gone:
-            shutil.rmtree(p, ignore_errors=True)
-        return len(gone)
+        A table that a live writer holds is left alone: its lock goes with the
+        process that took it, and what is staged is looked at under the lock.
+        """
+        staged: dict[str, list[str]] = {}
+        for p in self.files.glob(f"{self.base}/*/seg-*"):
+            staged.setdefault(p.rsplit("/", 2)[1], []).append(p)
+        n = 0
+        for name, paths in staged.items():
+            try:
+                with self.manifest.locked([name], timeout=0):
+                    known = self.manifest.named()
+                    gone = [p for p in paths if "/".join(p.rsplit("/", 2)[1:]) not in known]
+                    for p in gone:
+                        self.files.delete(p)
+                    n += len(gone)
+            except LockTimeout:
+                log.info("%s has a writer", name)
+        return n
 
     # Relations
 
@@ -163,15 +190,22 @@ class Database:
             out.append(r)
         return out
 
+    def _need(self, *records: tuple[str, Any]) -> None:
+        """With foreign keys enforced, fail unless all (table, id) exist."""
+        for table, i in records if self.config.enforce_foreign_keys else ():
+            if not self.table(table).exists(i):
+                raise Conflict(f"{table} has no {i}")
+
+    def _bounded(self, n: int) -> None:
+        if 0 < self.config.max_scan_rows <= n:
+            raise Conflict(f"{n} rows of at most {self.config.max_scan_rows}")
+
     def attach(self, name: str, parent_id: Any, child_id: Any, payload: dict[str, Any] | None = None) -> str:
         """Put or replace the junction row of a pair; its id."""
         r, payload = self.relations.get(name), payload or {}
         if bad := payload.keys() - {*r.payload}:
             raise ValueError(f"payload has {', '.join(sorted(bad))}")
-        if self.config.enforce_foreign_keys:
-            for table, i in ((r.parent, parent_id), (r.child, child_id)):
-                if not self.table(table).exists(i):
-                    raise Conflict(f"{table} has no {i}")
+        self._need((r.parent, parent_id), (r.child, child_id))
         junction, row = self.table(r.junction), {r.left_fk: parent_id, r.right_fk: child_id, **payload}
         was = junction.where({r.left_fk: parent_id, r.right_fk: child_id}).orderBy("seq").limit(1).collect()
         if was:
@@ -181,6 +215,7 @@ class Database:
 
     def detach(self, name: str, parent_id: Any, child_id: Any) -> int:
         r = self.relations.get(name)
+        self._need((r.parent, parent_id), (r.child, child_id))
         return self.table(r.junction).delete_where({r.left_fk: parent_id, r.right_fk: child_id})
 
     def _check_children(self, r: R.Relation, rows: list[dict]) -> None:
@@ -209,8 +244,12 @@ class Database:
         """Delete children (of a many-to-many relation, junction rows); archived ones are skipped."""
         r = self.relations.get(name)
         child = r.junction if isinstance(r, R.ManyToMany) else r.child
+        if not isinstance(r, R.ManyToMany) and not delete_parent:
+            self._need((r.parent, parent_id))
         with self.transaction([child, r.parent] if delete_parent else [child]) as tx:
             rows, skipped = self._current(r, tx.table(child), parent_id)
+            if self.config.max_scan_rows:
+                self._bounded(rows.count() + skipped)
             out = {"deleted": tx.table(child).delete_rows(rows), "skipped": skipped}
             if delete_parent:
                 tx.table(r.parent).delete(parent_id)
@@ -221,9 +260,12 @@ class Database:
         """Replace all children that aren't archived."""
         r = self.relations.get(name)
         self._check_children(r, rows)
+        self._need((r.parent, parent_id))
         with self.transaction([r.child]) as tx:
             child = tx.table(r.child)
             old, skipped = self._current(r, child, parent_id)
+            if self.config.max_scan_rows:
+                self._bounded(old.count() + skipped)
             deleted = child.delete_rows(old)
             return {"deleted": deleted, "skipped": skipped, "inserted": len(child.insert_batch([row | {r.fk: parent_id} for row in rows]))}
 
@@ -302,11 +344,11 @@ class Table:
         return self.find(id_) is not None
 
     def version(self, id_: Any) -> int | None:
-        """Of a live record; None if there is none."""
-        if not self.exists(id_):
-            return None
+        """Of a live record; None if there is none. One job, over the rows of the id."""
         one = self.log().where(F.col("id") == C.normal_id(id_)).withColumnRenamed("version", "base")
-        return replay.versions(one, "id", "seq", F.col("deleted"), F.col("base")).orderBy(F.desc("seq")).first()["version"]
+        one = one.withColumn("last", F.max("seq").over(Window.partitionBy("id")))
+        row = replay.versions(one, "id", "seq", F.col("deleted"), F.col("base")).where("seq = last").first()
+        return row and row["version"]
 
     def _matches(self, conditions: dict[str, Any]) -> Column:
         return reduce(lambda a, b: a & b, [C.field_text(F.col("record"), f).eqNullSafe(F.lit(C.text_of(v))) for f, v in conditions.items()], F.lit(True))
@@ -371,7 +413,15 @@ class Table:
         s = replay.stats(self.log(), "id", "seq", F.col("deleted")).first().asDict()
         total, gone, active = s["total_lines"], s["deleted_records"], s["active_records"]
         size = self._size()
-        return s | {"obsolete_versions": max(0, total - active - gone), "fragmentation_percent": round(100 * gone / total, 2) if total else 0.0, "file_size": size, "segments": len(self._state()["segments"]), "next_id": self._state()["next_id"], "stale_indexes": sorted(f for f in self._state()["indexes"] if self.index_stale(f))}
+        return s | {"obsolete_versions": max(0, total - active - gone), "fragmentation_percent": round(100 * gone / total, 2) if total else 0.0, "file_size": size, "segments": len(self._state()["segments"]), "next_id": self._state()["next_id"], "stale_indexes": sorted(f for f in self._state()["indexes"] if self.index_stale(f)), "secondary_indexes": self._index_stats()}
+
+    def _index_stats(self) -> dict[str, dict]:
+        out = {}
+        for f, index in sorted(self._state()["indexes"].items()):
+            rows = self.db.spark.read.parquet(f"{self.db.base}/{index['path']}")
+            files = rows.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").count().agg(F.sum("file_size").alias("s"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("f")).first()
+            out[f] = {"entries": files["n"] or 0, "files": files["f"], "file_size": files["s"] or 0, "built_at": index["built_at"], "stale": self.index_stale(f)}
+        return out
 
     def _size(self) -> int:
         if not self._state()["segments"]:
@@ -432,7 +482,7 @@ class Table:
             bad = staged.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
             live = replay.live(self.log(), "id", "seq", F.col("deleted"))
             if bad or staged.join(live.select("id"), "id", "left_semi").limit(1).count():
-                shutil.rmtree(part, ignore_errors=True)
+                self.db.files.delete(part)
                 raise Conflict("an id occurs twice or exists")
             sizes = staged.groupBy(F.shiftright("n", 33).alias("p")).count().orderBy("p").collect()  # one row a task
             first, at = {}, t["next_seq"]
@@ -445,13 +495,11 @@ class Table:
             largest = staged.agg(F.max(F.when(F.col("id").rlike(r"^\d+$"), F.col("id").try_cast("bigint")))).first()[0]
             t["next_id"] = max(t["next_id"], (largest or 0) + 1)
             self._append(t, rows, n)
-            shutil.rmtree(part, ignore_errors=True)
+            self.db.files.delete(part)
         return n
 
     def import_jsonl(self, path: str) -> int:
         """Append the lines of a record log, in order, tombstones included."""
-        from pyspark.sql import Window
-
         rows = read_log(self.db.spark, path).where("id is not null")
         with self._changing() as t:
             seq = (F.row_number().over(Window.orderBy("seq")) + F.lit(t["next_seq"] - 1)).cast("long")  # a log is one sequence
@@ -525,7 +573,8 @@ class Table:
         s = self.stats()
         total = s["total_lines"]
         waste = (total - s["active_records"]) / total if total else 0
-        if waste >= min(1.0, max(0.01, self.db.config.compact_ratio)) and waste * s["file_size"] >= self.db.config.compact_bytes:
+        wasted = waste >= min(1.0, max(0.01, self.db.config.compact_ratio)) and waste * s["file_size"] >= self.db.config.compact_bytes
+        if wasted or s["segments"] >= self.db.config.compact_segments:
             self.compact()
 
     def configure_indexes(self, names: list[str]) -> None:
@@ -581,9 +630,15 @@ class Transaction:
                 t = self.state["tables"].get(n) or {"segments": [], "indexes": {}}
                 for s in [*t["segments"], *t["indexes"].values()]:
                     if s["path"] not in known:
-                        shutil.rmtree(f"{self.db.base}/{s['path']}", ignore_errors=True)
+                        self.db.files.delete(f"{self.db.base}/{s['path']}")
             self.open = False
 
+    def reset(self) -> None:
+        """Drop what was staged and go on from the newest state."""
+        self.rollback()
+        self.begun = self.db.manifest.current()
+        self.state, self.open = copy.deepcopy(self.begun), True
+
     def describe(self) -> str:
         """The staged state as text."""
         return json.dumps({n: self.state["tables"].get(n) for n in sorted(self.names)}, indent=2)

@@ -97,6 +97,73 @@ def test_recovery_drops_what_no_manifest_names(db):
     assert db.recover() == 1 and db.table("a").count() == 1
 
 
+def test_recovery_leaves_a_live_writer_alone(db, spark):
+    db.table("a").insert({"x": 1})
+    other = Database(spark, db.base)
+    with db.transaction(["a"]) as tx:
+        tx.table("a").insert({"x": 2})
+        Path(db.base, "b").mkdir()
+        Path(db.base, "b", "seg-orphan").mkdir()
+        assert other.recover() == 1
+    assert db.table("a").count() == 2 and other.recover() == 0
+
+
+def test_bases_by_uri(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/data", manifest=str(tmp_path / "own"))
+    t = db.table("t")
+    t.insert_frame(spark.range(5))
+    with pytest.raises(RuntimeError), db.transaction(["t"]) as tx:
+        tx.table("t").insert({"id": 9})
+        raise RuntimeError
+    assert t.count() == 5 and len([*Path(tmp_path, "data", "t").glob("seg-*")]) == 1
+    assert [*Path(tmp_path, "own", "_manifest").glob("*.json")] and not Path(tmp_path, "data", "_manifest").exists()
+    assert Database(spark, f"file://{tmp_path}/two").table("t").insert({"a": 1}) == 1 and Path(tmp_path, "two", "t").exists()
+    with pytest.raises(ValueError):
+        Database(spark, "hdfs://somewhere/base")
+
+
+def test_shared_locks_and_what_is_held(tmp_path):
+    m, n = Manifest(str(tmp_path), 50), Manifest(str(tmp_path), 50)
+    with m.locked(["t"], shared=True):
+        with n.locked(["t"], shared=True):
+            assert m.held == n.held == ["t"]
+        with pytest.raises(LockTimeout), n.locked(["a", "t"]):
+            pass
+    assert m.held == n.held == []
+
+
+def test_foreign_keys_and_scan_bounds(db):
+    db.relations.define("lines", R.OneToMany("orders", "lines", "order_id"))
+    db.relations.define("tags", R.ManyToMany("orders", "tags", "ot", "o", "t"))
+    pid = db.insert_with_children("orders", {"ref": "r"}, "lines", [{"n": k} for k in range(3)])["parent_id"]
+    db.config.configure(enforce_foreign_keys=True, max_scan_rows=3)
+    for call in (lambda: db.detach("tags", pid, 5), lambda: db.sync_children("lines", 9, []), lambda: db.delete_with_children("lines", 9), lambda: db.delete_with_children("lines", pid), lambda: db.sync_children("lines", pid, [{"n": 7}])):
+        with pytest.raises(Conflict):
+            call()
+    assert db.table("lines").count() == 3
+    db.config.reset()
+    assert db.sync_children("lines", pid, [{"n": 7}]) == {"deleted": 3, "skipped": 0, "inserted": 1} and not db.config.enforce_foreign_keys
+
+
+def test_segments_are_merged_and_indexes_described(db):
+    db.config.configure(auto_compact=True, compact_segments=3)
+    t = db.table("t")
+    for k in range(3):
+        t.insert({"v": k})
+    assert t.stats()["segments"] == 1 and t.count() == 3
+    t.build_index("v")
+    index = t.stats()["secondary_indexes"]["v"]
+    assert index["entries"] == 3 and not index["stale"] and index["file_size"] > 0
+
+
+def test_reset_of_a_transaction(db):
+    with db.transaction(["a"]) as tx:
+        tx.table("a").insert({"x": 1})
+        tx.reset()
+        tx.table("a").insert({"x": 2})
+    assert [r["x"] for r in db.records(db.table("a").where())] == [2]
+
+
 def test_locks_and_lost_races(tmp_path):
     m, n = Manifest(str(tmp_path), 50), Manifest(str(tmp_path), 50)
     with m.locked(["t", "a"]), pytest.raises(LockTimeout), n.locked(["t"]):
