@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -87,9 +88,9 @@ def tidy(run):
     return inner
 
 
-def ascii_lower_words(text: str | None) -> list[bytes]:
-    """Words of ``[^\\x20\\x09-\\x0D]+`` with only A-Z lower-cased: bytes.lower and bytes.split do exactly this."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def ascii_lower_words(text: str | bytes | None) -> list[bytes]:
+    """Words of ``[^\\x20\\x09-\\x0D]+`` with only A-Z lower-cased: bytes.lower and bytes.split do exactly this, whatever the bytes."""
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split() if text else []
 
 
 class WordHash(dict):
@@ -151,6 +152,36 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix64((total[stop] - total[start]) * inverse[start]), count
 
 
+_GAP = re.compile(rb"[\x09-\x0d ]")
+
+
+def hashed_words(texts: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, of texts of any length: about ``limit`` bytes at a time, cut between words."""
+    out, count, held, owner, size = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64), [], [], 0
+
+    def flush() -> None:
+        nonlocal held, owner, size
+        if held:
+            words, n = word_hashes(held)
+            out.append(words)
+            np.add.at(count, owner, n)
+        held, owner, size = [], [], 0
+
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            gap = _GAP.search(text, at + limit)
+            stop = gap.start() if gap else len(text)
+            if size + stop - at > limit:
+                flush()
+            held.append(text[at:stop])
+            owner.append(i)
+            size += stop - at
+            at = stop
+    flush()
+    return np.concatenate(out), count
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``size`` words; a shorter text is one shingle as a whole."""
     if not len(words):
@@ -296,32 +327,25 @@ def links_of_tiles(passing, payload: str, meets):
     return run
 
 
+#: Edges that a task joins by union-find when those of many tasks are brought together.
+FOREST = 250_000
+
+
 def _local_forest(batches):
     """Union-find over the edges of one task, in bounded blocks: each node linked to the root of its block."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        at = x
-        while (up := parent.get(at, at)) != at:
-            at = up
-        while (up := parent.get(x, x)) != at:
-            parent[x], x = at, up
-        return at
+    groups = Groups()
 
     def out():
-        pairs = [(k, root(k)) for k in parent]
+        pairs = [(k, groups.root(k)) for k in groups.up]
         pairs = [p for p in pairs if p[0] != p[1]]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = root(a), root(b)
-            parent.setdefault(a, x), parent.setdefault(b, y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        if len(parent) > 500_000:
+            groups.join(a, b)
+        if len(groups.up) > 500_000:
             yield out()
-            parent.clear()
+            groups.up.clear()
     yield out()
 
 
@@ -329,14 +353,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b: long, not null).
 
     Alternating large-star and small-star rounds over written tables, after a
-    union-find inside each task. The loop ends when a round changes nothing;
-    only one number a round comes to the driver. Hubs are pre-aggregated (min) and
+    union-find inside each task. The loop ends when only stars are left: no
+    centre is itself linked to a smaller node, and no node has two; one row a
+    round at most comes to the driver. Hubs are pre-aggregated (min) and
     written before they are joined back, so that adaptive execution can split
     the join of a hub; it can't where one side is an aggregate.
     """
     nodes_of = edges.select("a", "b").where("a <> b")
     e = written(nodes_of.mapInArrow(_local_forest, "a long, b long"), f"{name}-forest")
+    # What the tasks leave is brought together in tasks of FOREST edges: few are left to the rounds.
+    e = written(e.coalesce(-(-e.count() // FOREST) or 1).mapInArrow(_local_forest, "a long, b long"), f"{name}-trees")
     while True:
+        centres = e.select("b").distinct().withColumnRenamed("b", "a")
+        if e.join(centres, "a", "left_semi").select("a").union(e.groupBy("a").count().where("count > 1").select("a")).isEmpty():
+            break
         # Large star: each larger neighbour of u, linked to the smallest of u and its neighbours.
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}-least")
@@ -347,9 +377,4 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         lo = written(down.groupBy("a").agg(F.min("b").alias("m")), f"{name}-lo")
         small = down.join(lo, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lo.select("a", F.col("m").alias("b"))).distinct()
         e = written(small, f"{name}-small")
-        # Stars only: no centre is itself linked to a smaller node, and no node has two.
-        centres = e.select("b").distinct()
-        open_ = e.join(centres.withColumnRenamed("b", "a"), "a", "left_semi").limit(1).count()
-        if not open_ and not e.groupBy("a").count().where("count > 1").limit(1).count():
-            break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -165,11 +165,11 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float
     lower-cased words) by the item's words, ``least`` or more; ``end_word``
     is the place after the alignment's last word. Items of fewer than ``n`` words are
     sought by the whole of their words. Null and empty texts, of documents or
-    items, match nothing; repeated rows come out once for each row in; an
+    items, match nothing; bytes that aren't UTF-8 count as U+FFFD; repeated rows come out once for each row in; an
     empty table on either side gives no rows. Other columns are not read.
     """
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    tests = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text")).where("text is not null")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.make_valid_utf8(docs[text_col]).alias("text"))
+    tests = items.select(items["item_id"].cast("long").alias("item_id"), F.make_valid_utf8(items["text"]).alias("text")).where("text is not null")
     n_docs, blocks = own.count(), max(1, -(-tests.count() // ITEMS))
     words, out = _Words(), None
     for k in range(blocks):

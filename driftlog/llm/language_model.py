@@ -14,7 +14,7 @@ the longest n-gram starts from where the shorter one was found.
 
 P(w | h) = c(h w) / (C + T) + b(h) P(w | h'), where C is the count of h, T the
 number of its successors kept, b(h) = 1 - sum of c / (C + T) over those, and
-P(w) = (c + 1) / (N + V + 1). By default trigrams that occur once are not kept.
+P(w) = (c + 1) / (N + V + 1). By default all n-grams are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -36,16 +35,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_lower_words, by_bytes, shared_dir, tidy, written
+from .common import by_bytes, hashed_words, shared_dir, tidy, written
 from .elias_fano import EliasFano
 
 #: Bytes of text for each piece of a level, and tokens that its boundaries are set by.
 PIECE_BYTES, PIECE_TOKENS = 24 << 20, 2 << 20
 SPLIT_TOKENS = PIECE_TOKENS // 16
-#: An n-gram of this many words or fewer is kept from the given count on.
-KEEP = {2: 1, 3: 2}
-#: All n-grams are kept.
-KEEP_ALL = {2: 1, 3: 1}
+#: n-grams of so many words are kept from the given count on: all are.
+KEEP = {2: 1, 3: 1}
 ORDER = 3
 #: log10 of probabilities and back-off weights go from 0 to -SPAN in 256 steps.
 SPAN = 12.0
@@ -337,14 +334,14 @@ def _before(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 # Building --------------------------------------------------------------------
 
 
-def _hashes(texts: list[str | None], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of all texts, each closed by END, and the number of each text."""
-    words = [ascii_lower_words(t) for t in texts]
-    count = np.array([len(w) + 1 for w in words], np.int64)
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of all texts, each closed by END, and the number of each text; A-Z lower-cased, by bytes."""
+    words, count = hashed_words([b"" if t is None else t.lower() for t in texts.cast(pa.binary()).to_pylist()])
+    count += 1
     out = np.full(int(count.sum()), END, np.uint64)
     inner = np.ones(len(out), bool)
     inner[np.cumsum(count) - 1] = False
-    out[inner] = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, len(out) - len(words))
+    out[inner] = words
     return out, count
 
 
@@ -359,8 +356,7 @@ def _build_words(train: DataFrame, uri: str, shards: int) -> tuple[Words, np.nda
     bounds = np.array([-(-(s << 32) // shards) << 32 for s in range(1, shards)], np.uint64)  # as Words.ids deals hashes out
 
     def count(batches):
-        known = WordHash()
-        yield from _counted((_hashes(b.column(0).slice(i, j - i).to_pylist(), known)[0] for b in batches for i, j in by_bytes(b.column(0))), bounds)
+        yield from _counted((_hashes(b.column(0).slice(i, j - i))[0] for b in batches for i, j in by_bytes(b.column(0))), bounds)
 
     def merge(key, batches):
         shard, keys, counts = key[0].as_py(), *_merge([_unpack(x.as_py()) for x in batches.column("blob")])
@@ -493,7 +489,8 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held`` are held out; all
     others are learned from. Null and empty texts are one end token; a null id
     is not held out. Repeated rows are learned from as often as they stand and
-    score alike; an empty table gives no rows. Other columns are not read.
+    score alike; texts are read by bytes, UTF-8 or not; an empty table gives no
+    rows. Other columns are not read.
     The model's files stay in the shared folder, as the rows are made from them.
     """
     fold = F.coalesce(F.crc32(docs[id_col].cast("string").cast("binary")) % folds == held, F.lit(False))
@@ -502,10 +499,9 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER
 
     def ids_of(words: Words) -> DataFrame:
         def run(batches):
-            known = WordHash()
             for b in batches:
                 for i, j in by_bytes(b.column(2)):
-                    hashes, count = _hashes(b.column(2).slice(i, j - i).to_pylist(), known)
+                    hashes, count = _hashes(b.column(2).slice(i, j - i))
                     ids = at_sorted(words.ids, hashes).astype(np.int32)
                     parts = [p.tobytes() for p in np.split(ids, np.cumsum(count)[:-1])]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(parts, pa.binary())], ["doc_id", "held_out", "ids"])

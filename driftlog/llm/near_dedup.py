@@ -54,7 +54,7 @@ def _read(width: int, full: bool):
     def run(batches):
         for batch in batches:
             ids, n, prints, payload = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 s = shingle_hashes(hashes.array(ascii_lower_words(text.as_py())), width)
                 ids.append(doc_id)
                 n.append(len(s))
@@ -151,8 +151,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     Null, empty and blank texts have no shingles and are linked with nothing;
     a text of fewer words is one shingle. Repeated rows share a component and,
     having the same id, are kept alike. A null id counts as larger than any
-    other: component_id is null only if the whole component has none. An empty
-    table gives no rows; other columns are not read.
+    other: component_id is null only if the whole component has none. Texts are
+    compared by bytes, UTF-8 or not. An empty table gives no rows; other columns
+    are not read.
     """
     count = TREES * DEPTH
     cut = int(count * percent / 100 - SLACK * (count * percent / 100 * (1 - percent / 100)) ** 0.5)

@@ -335,7 +335,8 @@ def count_tokens(texts: list[str | None], path: str) -> np.ndarray:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row, read whole; no shuffle.
 
-    Null and empty texts have 0 bytes and 0 tokens. Rows are taken as they
+    Null and empty texts have 0 bytes and 0 tokens; bytes that aren't UTF-8
+    count as U+FFFD. Rows are taken as they
     are: repeated rows and null ids come out once for each row in. Other
     columns are not read. ``tokenizer`` is a path each executor can open.
     """
@@ -350,4 +351,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
                 size = pa.compute.fill_null(pa.compute.binary_length(part), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), size, pa.array(n), pa.array(n > limit)], schema=schema)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs[id_col].alias("doc_id"), F.make_valid_utf8(docs[text_col]).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

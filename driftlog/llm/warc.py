@@ -11,9 +11,11 @@ no shuffle.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import html as html_lib
+import io
 import re
 import uuid
 import zlib
@@ -28,17 +30,19 @@ VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name-based ids of URLs, RFC 4122
 
-_OPEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg|head|title|body)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+#: What stands in a tag. A `<` outside quotes ends the search for its `>`, so that pages of unclosed tags or quotes take linear time.
+_INSIDE = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_OPEN = re.compile(rf"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg|head|title|body)\b{_INSIDE}>", re.I)
 _END = {name: re.compile(end, re.I) for name, end in [("<!--", "-->"), ("<![cdata[", r"\]\]>"), *((n, rf"</{n}\s*>") for n in ("script", "style", "noscript", "template", "svg", "title"))]}
 #: The end tag of a head, or the first tag in it that opens anything of a body.
 _HEAD_END = re.compile(r"(</head\s*>)|<(?!(?:base|basefont|bgsound|link|meta|noscript|script|style|template|title)\b)[a-z]", re.I)
 #: What takes the rest of the page where its end is missing.
 _TO_THE_END = ("<!--", "script", "style")
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|figcaption|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_BREAK = re.compile(rf"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|figcaption|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b{_INSIDE}>", re.I)
+_TAG = re.compile(rf"</?[a-zA-Z!?]{_INSIDE}>|</?[a-zA-Z][^<>]*+>")
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*+>", re.I), re.compile(r"</title\s*+>", re.I)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*+=\s*+[\"']?([\w-]+)", re.I)
+_CHARSET = re.compile(rb"charset\s*+=\s*+[\"']?\s*+([\w.:-]+)", re.I)
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -97,6 +101,13 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _BLANK.sub(" ", text.replace("\r", "\n"))).strip()
 
 
+def title_of(page: str) -> str:
+    """What stands in the first title that ends, as one line."""
+    begin = _TITLE.search(page)
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return one_line(html_lib.unescape(_TAG.sub("", page[begin.end() : end.start()]))) if end else ""
+
+
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
@@ -158,18 +169,42 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, gzipped by record or not."""
+class Headers(dict):
+    """Values by name, in whatever case it is written."""
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def _inflated(data: bytes) -> bytes:
+    """Gzipped bytes as far as they can be read."""
+    out, src = [], gzip.GzipFile(fileobj=io.BytesIO(data))
+    with contextlib.suppress(EOFError, OSError, zlib.error):
+        while part := src.read1(1 << 16):
+            out.append(part)
+    return b"".join(out)
+
+
+def records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record of a WARC file, gzipped by record or not.
+
+    What a broken gzip stream still gives is read; a record whose length is no
+    number is empty, and the search goes on after its headers.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _inflated(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length") or 0)
+        headers = Headers({k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)})
+        length = headers.get("Content-Length") or ""
+        size = int(length) if length.isascii() and length.isdigit() else 0
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -182,8 +217,7 @@ def _derive(record_id: str, uri: str | None, date: str | None, block: bytes, blo
     status, headers, body = split_http(block)
     body = decoded(headers, body)
     page, payload = characters(headers, body), payload_digest or digest(body)
-    title = m[1] if (m := _TITLE.search(page)) else ""
-    title = one_line(html_lib.unescape(_TAG.sub("", title)))
+    title = title_of(page)
     text = plain_text(page).encode("utf-8", "replace")
     lang = m[1] if (m := _LANG.search(page)) else ""
     source = "\n".join(f"{k}: {one_line(v)}" for k, v in headers)
@@ -203,7 +237,7 @@ def derivatives(responses: DataFrame, key: str = "key") -> DataFrame:
     ``source_headers`` holds the response's HTTP headers, one a line; ``warc``
     the whole record, ready to be written. A null or empty block gives an
     empty text and metadata without title; a null id is named after key and
-    target; a null date is DATE. Repeated rows give repeated records; an empty
+    target; a null date is DATE. Bytes that aren't UTF-8 become U+FFFD. Repeated rows give repeated records; an empty
     table none. Other columns are not read.
     """
 
@@ -218,7 +252,8 @@ def derivatives(responses: DataFrame, key: str = "key") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([x[f.name] for x in rows], f.type) for f in _ARROW)], [key, *_ARROW.names])
 
     digests = [F.col(c) if c in responses.columns else F.lit(None).cast("string").alias(c) for c in ("block_digest", "payload_digest")]
-    own = responses.select(responses[key].cast("long").alias("key"), "record_id", "target_uri", "warc_date", "block", *digests)
+    texts = [F.make_valid_utf8(c).alias(c) for c in ("record_id", "target_uri", "warc_date")]
+    own = responses.select(responses[key].cast("long").alias("key"), *texts, "block", *digests)
     return own.mapInArrow(run, f"{key} long, {SCHEMA}")
 
 

@@ -31,7 +31,7 @@ def test_counts_survive_packing():
     assert (a == keys).all() and (b == counts).all()
 
 
-def brute(rows, order=3):
+def brute(rows, least=1):
     """Scores from dictionaries, without quantisation."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tok = [ascii_lower_words(t) + ["\n"] for _, t in rows]
@@ -40,7 +40,7 @@ def brute(rows, order=3):
         if not held(i):
             for n in c:
                 c[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
-    c[3] = Counter({k: v for k, v in c[3].items() if v > 1})
+    c[3] = Counter({k: v for k, v in c[3].items() if v >= least})
     total, size = sum(c[1].values()), len(c[1])
     after = {n: defaultdict(lambda: [0, 0]) for n in (2, 3)}
     for n in after:
@@ -65,13 +65,13 @@ def brute(rows, order=3):
     return out
 
 
-@pytest.mark.parametrize("piece", [M.PIECE_BYTES, 3000])
-def test_scores_equal_brute_force_but_for_quantisation(make_docs, monkeypatch, piece):
+@pytest.mark.parametrize("piece,least", [(M.PIECE_BYTES, 1), (3000, 1), (3000, 2)])
+def test_scores_equal_brute_force_but_for_quantisation(make_docs, monkeypatch, piece, least):
     monkeypatch.setattr(M, "PIECE_BYTES", piece)
     rows = EDGES[:-2] + [(100 + k, " ".join(f"{w} the of" for w in prose(k % 17, 60).split())) for k in range(60)]
-    got = M.lm_scores(make_docs(rows)).collect()
+    got = M.lm_scores(make_docs(rows), keep={2: 1, 3: least}).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    for g, w in zip(sorted(map(tuple, got), key=key), sorted(brute(rows), key=key), strict=True):
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(brute(rows, least), key=key), strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and abs(g[6] - w[6]) <= 0.06 * w[2]
 
 
@@ -88,10 +88,20 @@ def test_trigrams_that_occur_once_are_kept(make_docs):
     one = 2 / 9  # four tokens of four kinds
     two = 1 / 2 + one / 2
     three = 1 / 2 + two / 2
-    got = M.lm_scores(make_docs([(learned, "a b c")]), keep=M.KEEP_ALL).first()
+    got = M.lm_scores(make_docs([(learned, "a b c")])).first()
     assert got.score == pytest.approx(sum(map(math.log10, (one, two, three, three))), abs=0.1)
 
 
+def test_words_of_long_texts_are_hashed_part_by_part():
+    from driftlog.llm.common import hashed_words, word_hashes
+
+    texts = [b"", prose(1, 500).encode(), b"x" * 5000, b" \n ", prose(2, 3).encode() + b"\x85\xff end"]
+    want, count = word_hashes(texts)
+    for limit in (1, 50, 1 << 20):
+        got, n = hashed_words(texts, limit)
+        assert got.tolist() == want.tolist() and n.tolist() == count.tolist()
+
+
 def test_empty_tables(make_docs):
     assert M.lm_scores(make_docs([])).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)

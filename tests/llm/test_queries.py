@@ -1,4 +1,5 @@
 import duckdb
+import public_tokenizers
 import pytest
 
 from driftlog.llm import queries
@@ -56,3 +57,22 @@ def test_near_duplicates_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in queries.op3_near_dedup(spark, sf).collect()]
     assert sorted(got) == sorted(brute(rows, 3, 85))
+
+
+def test_texts_that_are_not_utf8_go_through(spark):
+    from driftlog.llm.decontaminate import contaminated
+    from driftlog.llm.exact_dedup import exact_dedup
+    from driftlog.llm.language_model import lm_scores
+    from driftlog.llm.license_scan import license_scan
+    from driftlog.llm.mixing import mix
+    from driftlog.llm.near_dedup import near_dedup
+    from driftlog.llm.token_counts import token_counts
+
+    docs = spark.sql("select id as doc_id, concat('one two three four five ', cast(unhex(bad) as string), ' six') as text, 's' as source from values (1L, 'FF'), (2L, 'FF'), (3L, 'C328') as t(id, bad)")
+    items = docs.selectExpr("doc_id as item_id", "text")
+    assert [r.n_tokens > 0 for r in token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()] == [True] * 3
+    assert sorted(r.component_id for r in near_dedup(docs, 3, 85).collect()) == [1, 1, 3]
+    assert {r.n_tokens for r in lm_scores(docs).collect()} == {8}
+    assert contaminated(docs, items).count() >= 3
+    for f in (exact_dedup, license_scan, mix):
+        assert f(docs).count() == 3

@@ -1,6 +1,9 @@
 import base64
 import gzip
 import hashlib
+import html.parser
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +40,57 @@ def test_text_after_what_is_not_closed_stays():
     assert W.plain_text("<template>" * 100_000 + "x") == "x"
 
 
+@pytest.mark.parametrize("page", ["<script ", '<p "', "<title>", "<title ", "<html ", "<p \"'", "<head ", "<svg '", "<!--", "<a href='x", "</"])
+def test_pages_of_unclosed_tags_take_linear_time(page):
+    began = time.process_time()
+    many = page * ((1 << 20) // len(page))
+    W.plain_text(many), W.title_of(many), W._LANG.search(many)
+    assert time.process_time() - began < 10
+
+
+class Plain(html.parser.HTMLParser):
+    """The text of simple pages by the standard library's parser."""
+
+    BLOCKS = {"p", "br", "div", "h1", "li", "ul", "html", "body", "head", "title", "td", "tr", "table"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "head")
+        self.out.append("\n" if tag in self.BLOCKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "head")
+        self.out.append("\n" if tag in self.BLOCKS else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.hidden else data)
+
+
+def test_text_equals_that_of_a_plain_parser():
+    rng = random.Random(3)
+    for _ in range(200):
+        parts = ["<html><head><title>T &amp; t</title><style>p{}</style></head><body>"]
+        for _ in range(rng.randrange(12)):
+            word = rng.choice(["one", "two &lt; three", "é &eacute;", "a\n b", "5 > 4"])
+            parts.append(rng.choice([f"<p class='x > y'>{word}</p>", f"<div><b>{word}</b> and</div>", f"{word}<br/>", f"<ul><li>{word}</li></ul>", "<script>var a = '<p>';</script>", f'<a href="/{word}">link</a> ', f"<table><tr><td>{word}</td></tr></table>"]))
+        page = "".join(parts) + "</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        assert W.plain_text(page).split() == "".join(plain.out).split()
+
+
+def test_files_that_are_broken():
+    good = W.record("response", [("WARC-Record-ID", "<urn:uuid:1>")], b"one")
+    bad = good.replace(b"Content-Length: 3", b"content-length: none")
+    assert [h["warc-record-id"] for h, _ in W.records(bad + good.replace(b"WARC-Record-ID", b"warc-record-id"))] == ["<urn:uuid:1>"] * 2
+    zipped = gzip.compress(good) + gzip.compress(good)
+    assert next(W.records(zipped[:-12]))[1] == b"one"
+    assert [*W.records(b"\x1f\x8bnone")] == [] and [*W.records(b"")] == []
+
+
 def test_http_bodies():
     body = b"h\xc3\xa9llo"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(body)
