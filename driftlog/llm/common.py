@@ -50,15 +50,20 @@ def sized(df: DataFrame, width: int | Column = 32) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """``docs`` with a ``mark``: 64 bits of doc_id and text, as rows may have a null id or share one."""
-    return docs.withColumn("mark", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    return docs.withColumn("mark", _mark())
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose mark isn't in ``gone`` (mark)."""
+    """The rows of ``docs`` (doc_id, text and any others, whatever their names) whose mark isn't in ``gone`` (mark)."""
     gone = written(gone.select(F.col("mark").alias("gone_mark")).distinct(), "gone")
-    return marked(docs).join(sized(gone), F.col("mark") == F.col("gone_mark"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), _mark().alias("own_mark"))
+    return rows.join(sized(gone), F.col("own_mark") == F.col("gone_mark"), "left_anti").select("row.*")
 
 
 @lru_cache(1)

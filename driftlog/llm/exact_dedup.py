@@ -80,10 +80,15 @@ def exact_dedup(docs: DataFrame, block: int = 4096, id_col: str = "doc_id", text
 
 
 def drop_exact(docs: DataFrame, block: int = 4096) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that exact_dedup keeps, as they are."""
+    """The rows of ``docs`` (doc_id, text and any others, whatever their names) that exact_dedup keeps, as they are.
+
+    Nulls, ties, repeated rows and empty tables are as there; of repeated rows
+    that differ in other columns any one stays.
+    """
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
     fate = exact_dedup(docs, block).groupBy(F.col("doc_id").alias("fate_id"), F.col("text_sha256").alias("fate_sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
     fate = written(fate.where("not stays or copies > 1"), "fate")
-    met = docs.withColumn("own_sha", sha).join(sized(fate, 160), docs["doc_id"].eqNullSafe(F.col("fate_id")) & (F.col("own_sha") == F.col("fate_sha")), "left")
-    one = met.where("stays").dropDuplicates(["fate_id", "fate_sha"])  # of repeated rows any, as id and text are all that tells them apart
-    return met.where("fate_sha is null").union(one).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("own_id"), sha.alias("own_sha"))
+    met = rows.join(sized(fate, 160), F.col("own_id").eqNullSafe(F.col("fate_id")) & (F.col("own_sha") == F.col("fate_sha")), "left")
+    one = met.where("stays").dropDuplicates(["fate_id", "fate_sha"])  # id and text are all that tells rows apart
+    return met.where("fate_sha is null").union(one).select("row.*")

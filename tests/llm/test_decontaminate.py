@@ -73,3 +73,19 @@ def test_empty_sides(make_docs, items):
     assert D.contaminated(make_docs([]), items).count() == 0
     assert D.contaminated(make_docs(EDGES), items.limit(0)).count() == 0
     assert D.contaminated(make_docs(EDGES), items.where("item_id in (50, 51)")).count() == 0
+
+
+def test_every_item_against_every_document(spark):
+    """All pairs of sf0.001 by the alignment alone."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = D._Words()
+    given = {r.item_id: words(r.text) for r in items.collect()}
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        w = words(r.text)
+        for i, item in given.items():
+            if len(np.intersect1d(item, w)) >= D.LEAST * len(np.unique(item)) / 2 and len(item) and D.align(item, w)[0] >= D.LEAST * len(item):
+                want.add((r.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()}
+    assert got == want and len(want) >= 3

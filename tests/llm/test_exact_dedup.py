@@ -42,3 +42,14 @@ def test_very_frequent_blocks_are_named_alike(make_docs):
     got = exact_dedup(make_docs(rows), 4)
     assert got.where("kept").count() == 51
     assert got.where("group_size = 3000 and keep_id = 2999").count() == 3000
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    from driftlog.llm.common import marked, without
+    from driftlog.llm.exact_dedup import drop_exact
+
+    rows = [(1, "a", "x", 1, True, 0, 9), (2, "a", "y", 2, False, 0, 8), (3, "b", "z", 3, None, 0, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_sha string, stays int, kept boolean, fate_id int, mark int")
+    assert sorted(map(tuple, drop_exact(docs).collect())) == rows[1:] and drop_exact(docs).columns == docs.columns
+    gone = marked(docs.select("doc_id", "text")).where("doc_id = 3").select("mark")
+    assert sorted(map(tuple, without(docs, gone).collect())) == rows[:2] and without(docs, gone).columns == docs.columns
