@@ -21,29 +21,49 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored as one empty passage; without labels of both
+    kinds all stay, as every score is 0.5. Repeated rows and rows without an id fare by their text.
+    """
     return good_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays.
+
+    Null and empty texts are equal; a row without an id stays only where no
+    equal text has one; of rows equal in id and text one stays.
+    """
     return drop_exact(docs.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group stays, that with the smallest id: shingles of five words, similarity of 0.8 or more.
+
+    Texts without words stay. Rows equal in id and text fare alike; rows that
+    share an id, or have none, are told apart by their text.
+    """
     docs = docs.select(*COLUMNS)
     return without(docs, near_dedup(marked(docs), mark_col="mark").where("not kept").select("mark"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
+    """Documents that hold a copy of a benchmark item go.
+
+    Texts without words stay, and all do where the benchmark is empty; rows are
+    told apart as in near.
+    """
     docs = docs.select(*COLUMNS)
     return without(docs, contaminated(marked(docs), table(spark, sf_dir, "benchmark"), id_col="mark").select(F.col("doc_id").alias("mark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their share in it."""
+    """The documents that the mix takes, with their share in it.
+
+    Texts without words have size 0 and aren't taken; a null source is a source
+    of its own; rows equal in id and text fare alike.
+    """
     return mix(docs, carry=("text", "lang", "source", "n_chars")).where("taken > 0")
 
 
