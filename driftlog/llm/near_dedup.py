@@ -2,8 +2,8 @@
 
 Every document has one label in each of several trees: a row of MinHash values.
 Documents are sorted by label in each tree. A region is a shared prefix of
-``shallow`` values; regions that grow too large are taken deeper, and beyond
-the full depth dealt out by hash. Within each, the neighbours in sorted order,
+SHALLOW values; a region that is too large is taken deeper, each part of it as
+far as it must to be small enough, and beyond the full depth dealt out by hash. Within each, the neighbours in sorted order,
 which share the longest prefixes, are candidates. Candidates whose signatures
 agree too little are put aside; the others are confirmed on full shingle sets.
 
@@ -66,21 +66,46 @@ def _read(width: int, full: bool):
     return run
 
 
+def _prefix(label: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The label of a prefix and its next value."""
+    return mix64(label * np.uint64(0x9E3779B97F4A7C15) + value)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))
+
+
+def _roots() -> np.ndarray:
+    return mix64(np.arange(TREES, dtype=np.uint64))
+
+
 def _labels(batches):
-    """(node, n, signature) to a row for each tree: region, whole label, order within the region."""
+    """(node, n, signature) to a row for each tree: the region's label, and the order within the region."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").astype(np.uint64).reshape(-1, TREES, DEPTH)
-        h = np.broadcast_to(mix64(np.arange(TREES, dtype=np.uint64)), sig.shape[:2]).copy()
-        region = h
-        for k in range(DEPTH):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-            region = h if k == SHALLOW - 1 else region
+        region = np.broadcast_to(_roots(), sig.shape[:2])
+        for k in range(SHALLOW):
+            region = _prefix(region, sig[:, :, k])
         order = np.zeros(sig.shape[:2], np.uint64)  # the next values, as a number that sorts like them
         for k in range(SHALLOW, SHALLOW + 4):
             order = order << np.uint64(16) | sig[:, :, k]
         node, tree = np.repeat(np.asarray(batch.column(0)), TREES), np.tile(np.arange(TREES, dtype=np.int32), len(sig))
-        signed = lambda x: pa.array(x.reshape(-1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([signed(region), signed(h), signed(order ^ np.uint64(1 << 63)), pa.array(node), pa.array(tree)], ["region", "deep", "place", "node", "tree"])
+        yield pa.RecordBatch.from_arrays([_signed(region), _signed(order ^ np.uint64(1 << 63)), pa.array(node), pa.array(tree)], ["region", "place", "node", "tree"])
+
+
+def _paths(batches):
+    """(tree, place, node, signature) to a row for each depth beyond SHALLOW: the label of the prefix."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, rest = np.asarray(batch.column(0)), DEPTH - SHALLOW
+        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u2").astype(np.uint64).reshape(-1, TREES, DEPTH)[np.arange(len(tree)), tree]
+        label, steps = _roots()[tree], []
+        for k in range(DEPTH):
+            label = _prefix(label, sig[:, k])
+            steps += [label] if k >= SHALLOW else []
+        each = lambda c: pa.array(np.repeat(np.asarray(batch.column(c)), rest))
+        yield pa.RecordBatch.from_arrays([each(1), each(2), each(0), pa.array(np.tile(np.arange(SHALLOW + 1, DEPTH + 1, dtype=np.int32), len(tree))), _signed(np.stack(steps, 1))], ["place", "node", "tree", "depth", "label"])
 
 
 def _agree(cut: int):
@@ -165,13 +190,17 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     sigs = classes.select("node", "n", "signature")
 
-    trees = sigs.mapInArrow(tidy(_labels), "region long, deep long, place long, node long, tree int")
+    trees = sigs.mapInArrow(tidy(_labels), "region long, place long, node long, tree int")
     held = written(trees.groupBy("region").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "near-held")
     live = written(trees.join(held, "region"), "near-live")
-    deep = written(live.where(F.col("held") > REGION).groupBy("deep").agg(F.count(F.lit(1)).alias("deep_held")), "near-deep")
-    salt = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("deep_held") / (REGION // 2)).cast("long"))
-    key = F.when(F.col("deep_held").isNull(), F.col("region")).when(F.col("deep_held") <= REGION, F.col("deep")).otherwise(F.xxhash64("deep", salt))
-    large = live.where(F.col("held") > REGION).join(deep, "deep", "left").select(key.alias("key"), "place", "node")
+    # Rows of large regions go to the shortest common prefix that REGION or fewer have, or are dealt out under the whole label.
+    paths = live.where(F.col("held") > REGION).join(sigs.select("node", "signature"), "node").select("tree", "place", "node", "signature")
+    steps = written(paths.mapInArrow(tidy(_paths), "place long, node long, tree int, depth int, label long"), "near-steps")
+    held_at = written(steps.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "near-deep")
+    fits = F.col("n") <= REGION
+    at = steps.join(held_at, "label").groupBy("node", "tree", "place").agg(F.min_by(F.struct("label", "n"), F.when(fits, F.col("depth")).otherwise(100 - F.col("depth"))).alias("s")).select("node", "place", "s.*")
+    salt = F.pmod(F.xxhash64("node", "label"), F.ceil(F.col("n") / (REGION // 2)).cast("long"))
+    large = at.select(F.when(fits, F.col("label")).otherwise(F.xxhash64("label", salt)).alias("key"), "place", "node")
     small = live.where(F.col("held") <= REGION).select(F.col("region").alias("key"), "place", "node")
     beside = F.lead("node").over(Window.partitionBy("key").orderBy("place", "node"))
     pairs = small.union(large).select(F.col("node").alias("x"), beside.alias("y")).where("y is not null and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
