@@ -259,9 +259,9 @@ def load_with_limit(region, nation):
     return loaded.select("r_regionkey", F.explode("nations.n_nationkey").alias("n_nationkey"))
 
 
-@query("events part", "select event_id from events e left join part p on e.user_id = p.p_partkey where p.p_partkey is null")
-def fk_violations(events, part):
-    return R.orphans(events, "user_id", part, "p_partkey").select("event_id")
+@query("orders customer", "select o_orderkey from orders o left join (select * from customer where c_acctbal > 0) c on o.o_custkey = c.c_custkey where c.c_custkey is null")
+def fk_violations(orders, customer):
+    return R.orphans(orders, "o_custkey", customer.where("c_acctbal > 0"), "c_custkey").select("o_orderkey")
 
 
 @query("lineitem", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
