@@ -30,7 +30,7 @@ from .common import LEFT, MAIN, OTHER, WordHash, ascii_lower_words, by_tile, com
 
 TREES, DEPTH, SHALLOW = 16, 8, 3
 #: Regions above this many documents are taken deeper or dealt out in the first pass.
-REGION = 1000
+REGION = 256
 #: Documents in a side of a tile of the second pass.
 SIDE = 2048
 #: Standard deviations by which signatures may agree less than the threshold says.
