@@ -243,7 +243,8 @@ def tiles(placed: DataFrame, attributes: DataFrame, columns: list[str], side: in
 
 
 def by_tile(rows: DataFrame) -> DataFrame:
-    return rows.repartition("tile").sortWithinPartitions("tile")
+    """Sorted by tile, in as many tasks as a shuffle has: the pairs of a tile take time, not room, so small tasks aren't put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
 
 
 def each_tile(batches, together: int = 1):
